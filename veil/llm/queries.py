@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, packing, pii, quality, tokens, urls
+from . import extraction, packing, pii, quality, tokens, urls
 from .common import table
 
 
@@ -32,7 +32,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
