@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, packing, pii, quality, substring, tokens, urls
+from . import extraction, jaccard, packing, pii, quality, substring, tokens, urls
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,7 +53,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op8_best_fit_packing, op10_substring_dedup)
+    found = (op1_quality_classifier, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op8_best_fit_packing, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
