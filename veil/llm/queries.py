@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extraction, jaccard, packing, pii, quality, substring, tokens, urls
+from . import embeddings, extraction, jaccard, packing, pii, quality, substring, tokens, urls
 from .common import table
 
 
@@ -48,12 +48,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op8_best_fit_packing, op10_substring_dedup)
+    found = (op1_quality_classifier, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op8_best_fit_packing, op9_embedding_near_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
