@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, extraction, jaccard, packing, pii, quality, substring, tokens, urls
+from . import decontamination, embeddings, extraction, jaccard, packing, pii, quality, substring, tokens, urls
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, vocabulary("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op8_best_fit_packing, op9_embedding_near_dedup, op10_substring_dedup)
+    found = (op1_quality_classifier, op2_ngram_jaccard_join, op3_pii, op4_url_filters, op5_html_extraction, op6_token_counts, op7_benchmark_decontamination, op8_best_fit_packing, op9_embedding_near_dedup, op10_substring_dedup)
     return {f.__name__: f for f in found}
 
 
