@@ -20,12 +20,11 @@ LITERALS = 4
 ENOUGH = 6
 
 #: The patterns hold for Java's and RE2's syntax alike, so that SQL engines give the same tokens.
-#: A name is a run of capitalised words that doesn't begin a sentence or a line.
-NAME = r"([^\x20\x09-\x0D.!?:;][\x20\x09]+)(\p{Lu}[\p{L}'’-]*(?:[\x20\x09]+\p{Lu}[\p{L}'’-]*)*)"
+#: A name is a run of capitalised words (not all capitals) that doesn't begin a sentence or a line.
+NAME = r"([^\x20\x09-\x0D.!?:;][\x20\x09]+)(\p{Lu}\p{Ll}[\p{Ll}'’-]*(?:[\x20\x09]+\p{Lu}\p{Ll}[\p{Ll}'’-]*)*)"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = r"(<num>)[\x20\x09]*(%|‰|°[CFK]?|€|\$|£|km/h|mph|km|cm|mm|kg|mg|ml|kw|kwh|mb|gb|tb|hz|min|hours?|days?|weeks?|months?|years?|miles?|metres?|meters?|grams?|litres?|liters?|dollars?|euros?|pounds?|percent|seconds?|minutes?|m|g|l|s|h)([^\p{L}\p{N}]|$)"
 OTHER = r"[^\p{L}\p{M}\p{N}<>]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLACEHOLDERS = ("<name>", "<num>", "<unit>")
 
 
@@ -43,15 +42,15 @@ def with_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
     Each step is a projection of its own that the next one uses more than once, so that the optimiser neither
     merges them nor repeats the replacements.
     """
-    marked = F.translate(F.regexp_replace(_numbered(F.col(text)), UNIT, "$1 <unit>$3"), UPPER, LOWER)
+    marked = F.lower(F.regexp_replace(_numbered(F.col(text)), UNIT, "$1 <unit>$3"))
     spaced = F.trim(F.regexp_replace(F.regexp_replace(marked, "(<name>|<num>|<unit>)", " $1 "), OTHER, " "))
     out = df.withColumn(tokens, F.coalesce(spaced, F.lit("")))
     return out.withColumn(tokens, F.when(F.length(tokens) > 0, F.split(tokens, " +")).otherwise(F.array().cast("array<string>")))
 
 
 def slots(text: Column) -> Column:
-    """The values of each placeholder kind, in their order in the text, A-Z lower-cased."""
-    low = lambda values: F.transform(values, lambda v: F.translate(v, UPPER, LOWER))
+    """The values of each placeholder kind, in their order in the text, lower-cased."""
+    low = lambda values: F.transform(values, F.lower)
     return F.array(
         low(F.regexp_extract_all(F.translate(text, "<>", "  "), F.lit(NAME), F.lit(2))),
         low(F.regexp_extract_all(_named(text), F.lit(NUMBER), F.lit(0))),
