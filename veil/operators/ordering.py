@@ -1,13 +1,55 @@
-"""Sorts and global ranks."""
+"""Sorts, permutations, merges and checks in a total order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veil.functions.random_tags import MODULUS, MULTIPLIER, minstd
+from veil.plans.global_order import GlobalOrder
 
-def osort(df: DataFrame, keys: Sequence[str], rank: str = "rk") -> DataFrame:
+
+def osort(df: DataFrame, keys: Sequence[str | Column], rank: str = "rk") -> DataFrame:
     """All rows with their 1-based position in the total order of keys (the last key must make it total)."""
-    return df.withColumn(rank, F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    return GlobalOrder(df, keys).ranked(rank)
+
+
+def oshuffle(df: DataFrame, seed: int, pos: str = "pos") -> DataFrame:
+    """All rows with their 1-based place in a random permutation drawn from the seed."""
+    tagged = df.withColumn("_tag", F.rand(seed)).withColumn("_tie", F.monotonically_increasing_id())
+    return GlobalOrder(tagged, ["_tag", "_tie"]).ranked(pos).drop("_tag", "_tie")
+
+
+def shuffle_by_key(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """A reproducible permutation: the order of one generator step from each row's unique key."""
+    return GlobalOrder(df, [minstd(F.col(key)), F.col(key)]).ranked(pos)
+
+
+def is_sorted(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
+    """One row: violations (rows whose value is less than the row before), and n."""
+    pairs = GlobalOrder(df.select(*dict.fromkeys([*order, value])), list(order)).previous(value, "_prev")
+    return pairs.agg(F.coalesce(F.sum(F.when(F.col(value) < F.col("_prev"), 1).otherwise(0)), F.lit(0)).cast("long").alias("violations"), F.count("*").alias("n"))
+
+
+def merge_runs(df: DataFrame, run: Column, keys: Sequence[str], run_pos: str = "run_pos", pos: str = "pos") -> DataFrame:
+    """Sorted runs merged: each row's 0-based place in its run and in the merge."""
+    runs = df.withColumn("run", run)
+    merged = GlobalOrder(runs, keys).ranked(pos, start=0)
+    # The merge order restricted to a run is the run's own order.
+    return merged.withColumn(run_pos, (F.row_number().over(Window.partitionBy("run").orderBy(pos)) - 1).cast("long"))
+
+
+def page_permuted_scan(df: DataFrame, key: str, page: int, pos: str = "pos") -> DataFrame:
+    """Whole pages in a permuted order, rows in order within a page, the last page pinned to the end."""
+    indexed = GlobalOrder(df, [key]).ranked("idx", start=0)
+    size = indexed.agg(F.max("idx").alias("_last"))  # one row
+    paged = indexed.crossJoin(F.broadcast(size)).withColumn("_page", F.floor(F.col("idx") / page)).withColumn("_pinned", (F.col("_page") == F.floor(F.col("_last") / page)).cast("int"))
+    order = [F.col("_pinned"), ((F.col("_page") + 1) * MULTIPLIER) % MODULUS, F.col("idx")]
+    return GlobalOrder(paged, order).ranked(pos, start=0).drop("_page", "_pinned", "_last")
+
+
+def sort_array_by_network(values: Column) -> Column:
+    """Small fixed arrays in order (the result of a sorting network)."""
+    return F.array_sort(values)
