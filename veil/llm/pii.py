@@ -219,13 +219,13 @@ def _example(r: random.Random) -> tuple[str, tuple[int, int] | None]:
         ][r.randrange(15)]()
         lead = r.choice(["", "", "page ", "order ", "ISBN ", "version ", "part ", "year ", "key: ", "total "])
     head = words(r.randint(2, 5)) + " " + lead
-    return head + value + r.choice([" ", ". ", ", ", "\n", ""]) + words(r.randint(1, 4)), (len(head), len(head) + len(value)) if good else None
+    return head + value + r.choice([" ", ". ", ", ", "\n"]) + words(r.randint(1, 4)), (len(head), len(head) + len(value)) if good else None
 
 
 #: Generated examples that the trees, the calibration and the thresholds are fitted on.
 EXAMPLES = 4000
 #: Precision that a kind's threshold keeps on held-out examples.
-PRECISION = 0.98
+PRECISION = 0.95
 
 
 @functools.lru_cache(maxsize=2)
@@ -252,7 +252,9 @@ def trained(seed: int = 7, examples: int = EXAMPLES) -> tuple[BoostedTrees, np.n
         order = np.argsort(-p, kind="stable")
         precision = np.cumsum(t[order]) / np.arange(1, len(order) + 1)
         good = np.flatnonzero(precision >= PRECISION)
-        thresholds[kind] = max(0.5, float(p[order][good[-1]])) if len(good) else 2.0
+        last = good[-1] if len(good) else -1
+        rest = p[order][last + 1] if last + 1 < len(order) else 0.0
+        thresholds[kind] = max(0.5, float(p[order][last] + rest) / 2) if len(good) else 2.0
     return trees, curve, thresholds
 
 
