@@ -25,5 +25,51 @@ d as (select *, case {rule} end as rule from c)
 select page_id, host, path, rule, case {said} {method} else 'allow' end as verdict from d"""
 
 
+#: Words of the contracts: runs of other than ASCII white space.
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+
+def _components(ids: str, links: str) -> str:
+    """Recursive relation reach(id, other) over an undirected relation links(x, y)."""
+    return f"""both_ways as (select x, y from {links} union all select y, x from {links}),
+reach(id, other) as (select id, id from {ids} union select r.id, b.y from reach r join both_ways b on b.x = r.other)"""
+
+
+def op2_ngram_jaccard_join() -> str:
+    words = _WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    return f"""with recursive w as (select doc_id, {words} as ws from documents),
+sets as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as s from w),
+shingles as (select doc_id, unnest(s) as g from sets), n as (select doc_id as id, len(s) as n from sets),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from pairs join n p on p.id = x join n q on q.id = y where 100 * c >= 75 * (p.n + q.n - c)),
+{_components("n", "links")}
+select n.id as doc_id, cast(n.n as bigint) as n_shingles, min(r.other) as component_id from n join reach r on r.id = n.id group by n.id, n.n"""
+
+
+def op9_embedding_near_dedup() -> str:
+    return f"""with recursive v as (select vec_id as id, label, cast(embedding as double[]) as e from embeddings),
+ok as (select * from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.id as x, b.id as y from ok a join ok b on a.label = b.label and a.id < b.id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+{_components("v", "links")},
+degree as (select x, count(*) as k from both_ways group by x),
+c as (select id, min(other) as component from reach group by id)
+select c.id as vec_id, cast(coalesce(d.k, 0) as bigint) as n_links, c.component as component_id, c.id = c.component as kept from c left join degree d on d.x = c.id"""
+
+
+def op10_substring_dedup() -> str:
+    words = _WORDS.format(text="coalesce(text, '')")
+    return f"""with w as (select doc_id, {words} as ws from documents),
+places as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13),
+windows as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as g from places),
+firsts as (select g, min(doc_id) as least from windows group by g),
+later as (select doc_id, i from windows join firsts using (g) where least < doc_id),
+covered as (select distinct doc_id, i + k as pos from later, (select unnest(range(13)) as k) t),
+each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+kept as (select e.doc_id, count(*) as n, string_agg(e.word, ' ' order by e.pos) as t from each e anti join covered c on c.doc_id = e.doc_id and c.pos = e.pos group by e.doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_url_filters": op4_url_filters()}
+    found = (op2_ngram_jaccard_join, op4_url_filters, op9_embedding_near_dedup, op10_substring_dedup)
+    return {f.__name__: f() for f in found}
