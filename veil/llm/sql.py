@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontamination
 from .urls import HOST_RULES, PATTERN_RULES
 
 
@@ -70,6 +71,39 @@ kept as (select e.doc_id, count(*) as n, string_agg(e.word, ' ' order by e.pos)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kept.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from w left join kept on kept.doc_id = w.doc_id"""
 
 
+def op7_benchmark_decontamination() -> str:
+    name, number, unit, other = (_quoted(x) for x in (decontamination.NAME, decontamination.NUMBER, decontamination.UNIT, decontamination.OTHER))
+    w, marks = decontamination.WINDOW, ", ".join(_quoted(x) for x in decontamination.PLACEHOLDERS)
+
+    def prepared(table: str, key: str) -> str:
+        return f"""(select {key}, t0, t1, t2, case when length(spaced) > 0 then regexp_split_to_array(spaced, ' +') else [] end as tokens,
+  [list_transform(regexp_extract_all(t0, {name}, 2), lambda v: lower(v)), regexp_extract_all(t1, {number}, 0), list_transform(regexp_extract_all(t2, {unit}, 2), lambda v: lower(v))] as slots
+from (select *, trim(regexp_replace(regexp_replace(lower(regexp_replace(t2, {unit}, '\\1 <unit>\\3', 'g')), '(<name>|<num>|<unit>)', ' \\1 ', 'g'), {other}, ' ', 'g')) as spaced
+from (select *, regexp_replace(t1, {number}, '<num>', 'g') as t2 from (select *, regexp_replace(t0, {name}, '\\1<name>', 'g') as t1
+from (select {key}, translate(text, '<>', '  ') as t0 from {table} where text is not null and {key} is not null) q0) q1) q2) q3)"""
+
+    def values(side: str, start: str) -> str:
+        one = lambda k: f"""list_transform(({side}.slots[{k + 1}])[len(list_filter({side}.tokens[1:{start}], lambda x: x = {_quoted(decontamination.PLACEHOLDERS[k])})) + 1 :
+  len(list_filter({side}.tokens[1:{start} + {w}], lambda x: x = {_quoted(decontamination.PLACEHOLDERS[k])}))], lambda v: '{k}:' || v)"""
+        return " || ".join(one(k) for k in range(3))
+
+    enough = f"least({decontamination.ENOUGH}, ceil(windows / 2))"
+    return f"""with items as (select * from {prepared("benchmark", "item_id")} i), docs as (select * from {prepared("documents", "doc_id")} d),
+iw as (select item_id, k, array_to_string(tokens[k + 1:k + {w}], ' ') as g, len(list_filter(tokens[k + 1:k + {w}], lambda x: x not in ({marks}))) as plain
+  from (select item_id, tokens, unnest(range(0, len(tokens) - {w - 1})) as k from items where len(tokens) >= {w}) a),
+ix as (select item_id, k, g from iw where plain >= {decontamination.LITERALS}), usable as (select item_id, count(distinct g) as windows from ix group by item_id),
+dw as (select doc_id, pos, array_to_string(tokens[pos + 1:pos + {w}], ' ') as g from (select doc_id, tokens, unnest(range(0, len(tokens) - {w - 1})) as pos from docs where len(tokens) >= {w}) a),
+hits as (select doc_id, pos, item_id, k, g from dw join ix using (g)),
+likely as (select doc_id, item_id, windows from (select doc_id, item_id, count(distinct g) as met from hits group by 1, 2) m join usable using (item_id) where met >= {enough}),
+placed as (select h.doc_id, h.item_id, l.windows, h.g, {values("i", "h.k")} as iv, {values("d", "h.pos")} as dv
+  from hits h join likely l using (doc_id, item_id) join items i on i.item_id = h.item_id join docs d on d.doc_id = h.doc_id),
+counted as (select doc_id, item_id, windows, count(distinct g) as all_met, count(distinct case when len(iv) = 0 then g end) as plain_met from placed group by 1, 2, 3),
+maps as (select doc_id, item_id, count(distinct i) as froms, count(distinct i || chr(0) || d) as pairs, coalesce(bool_or(i <> d), false) as changed
+  from (select doc_id, item_id, unnest(iv) as i, unnest(dv) as d from placed) z group by 1, 2),
+judged as (select doc_id, item_id, windows, case when coalesce(froms = pairs, true) then all_met else plain_met end as matched, coalesce(changed, false) as changed from counted left join maps using (doc_id, item_id))
+select doc_id, item_id, matched, windows, changed from judged where matched >= {enough}"""
+
+
 def oracles() -> dict[str, str]:
-    found = (op2_ngram_jaccard_join, op4_url_filters, op9_embedding_near_dedup, op10_substring_dedup)
+    found = (op2_ngram_jaccard_join, op4_url_filters, op7_benchmark_decontamination, op9_embedding_near_dedup, op10_substring_dedup)
     return {f.__name__: f() for f in found}
