@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,27 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
             start = stop
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: idle Python workers stay alive beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same map over batches, with the worker's memory tidied when it ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -52,11 +77,35 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir() + "/veil-checkpoints"
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection.
+
+    The first round drops what Python held, the second what only that kept alive.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within it, Arrow batches have at most this many rows: whole texts in large batches fill workers and JVM buffers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veil-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup; it ends at their own end tag only.
@@ -272,4 +272,4 @@ def extract(df: DataFrame, html: str = "html", max_slice_bytes: int = 4 << 20) -
             columns = [batch.column(c) for c in carried] + [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

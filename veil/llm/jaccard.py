@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, partitions, slices
+from .common import broadcast_if_small, materialise, partitions, release, slices, tidied, tidy
 from .components import connected_components
 from .words import ROLL, gram_hashes, mixed, word_hashes
 
@@ -30,9 +30,11 @@ SHINGLE = 5
 #: A link: THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (75, 100)
 #: Flush points of a map task, and the text it hashes at once.
-BATCH_SHINGLES = 1_500_000
+BATCH_SHINGLES = 1_000_000
 BATCH_DOCS = 60_000
-HASH_BYTES = 2 << 20
+HASH_BYTES = 1 << 20
+#: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
+BUCKETS = 4
 #: Frequent hashes that get a place of their own in the order, at most; the order is valid whatever their number.
 FREQUENT = 1 << 20
 FREQUENT_FROM = 16
@@ -139,6 +141,7 @@ def _send(size: int, buckets: int):
             if held >= BATCH_SHINGLES or docs >= BATCH_DOCS - 10_000:
                 yield flush(np.concatenate(ids), np.concatenate(hashes), np.concatenate(sizes))
                 ids, hashes, sizes, held, docs = [], [], [], 0, 0
+                tidy()
         if docs:
             yield flush(np.concatenate(ids), np.concatenate(hashes), np.concatenate(sizes))
 
@@ -149,27 +152,31 @@ def _count(buckets: int):
     """Which hashes of a bucket are shared: replies to the documents that sent them alone, and frequent hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs, many = [], [], []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                raw = blob.as_buffer().to_pybytes()
-                if kind == DOCS:
+            for bucket, kind, raw in zip(batch.column("to").to_pylist(), batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if kind == TOKENS:
+                    held.setdefault(bucket, []).append(raw)
+                else:
                     parts = _unpack(raw, "<i8", "<i4", "<i8", "<i8", "<i4")
                     to = (mixed(parts[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                     rows = []
                     for t in np.unique(to):
                         rows.append((int(t), DOCS, _pack(*(p[to == t] for p in parts))))
                     yield _routed(rows)
-                    continue
-                key, index, ids, counts = _unpack(raw, "<u8", "<u2", "<i8", "<u4")
-                single = index != MANY
-                owner = np.zeros(len(index), dtype=np.int64)
-                owner[single] = np.cumsum(ids)[index[single]]
-                number = np.ones(len(index), dtype=np.int64)
-                number[~single] = counts
-                keys.append(np.cumsum(key, dtype=np.uint64)), docs.append(owner), many.append(number)
-        if not keys:
-            return
+        while held:  # one bucket at a time; the others stay compressed
+            yield from answers(held.popitem()[1])
+
+    def answers(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys, docs, many = [], [], []
+        for raw in blobs:
+            key, index, ids, counts = _unpack(raw, "<u8", "<u2", "<i8", "<u4")
+            single = index != MANY
+            owner = np.zeros(len(index), dtype=np.int64)
+            owner[single] = np.cumsum(ids)[index[single]]
+            number = np.ones(len(index), dtype=np.int64)
+            number[~single] = counts
+            keys.append(np.cumsum(key, dtype=np.uint64)), docs.append(owner), many.append(number)
         key, doc, number = np.concatenate(keys), np.concatenate(docs), np.concatenate(many)
         keys.clear(), docs.clear(), many.clear()
         order = np.argsort(key, kind="stable")
@@ -222,11 +229,11 @@ def counted(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     """A row for each id: n, two fingerprints of the set, how many of its hashes other documents have; and rows of
     frequent hashes (token, df) without an id. Written to the shared folder."""
     spark = df.sparkSession
-    buckets = partitions(spark)
-    sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(_send(size, buckets), _ROUTED)
-    replied = sent.repartition(buckets, "to").mapInArrow(_count(buckets), _ROUTED)
+    buckets = BUCKETS * partitions(spark)
+    sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_send(size, buckets)), _ROUTED)
+    replied = sent.repartition(2 * partitions(spark), "to").mapInArrow(tidied(_count(buckets)), _ROUTED)
     schema = "doc_id long, n int, fp1 long, fp2 long, shared int, token long, df int"
-    return materialise(replied.repartition(buckets, "to").mapInArrow(_gather, schema), "shingles")
+    return materialise(replied.repartition(partitions(spark), "to").mapInArrow(tidied(_gather), schema), "shingles")
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +270,7 @@ def ordered_sets(df: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: i
             tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), batch.column("shared"), tokens], names=["doc_id", "n", "shared", "tokens"])
 
-    return df.mapInArrow(run, "doc_id long, n int, shared int, tokens array<long>")
+    return df.mapInArrow(tidied(run), "doc_id long, n int, shared int, tokens array<long>")
 
 
 def _least_overlap(n, m):
@@ -348,6 +355,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     num, den = THRESHOLD
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = counted(docs, size)
+    release(df.sparkSession)  # the packed hashes aren't needed any more
     counts = rows.filter("doc_id is not null").drop("token", "df")
     sets = ["n", "fp1", "fp2"]
     classes = materialise(counts.filter("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "classes")

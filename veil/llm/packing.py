@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, slices, texts_of
+from .common import materialise, partitions, slices, texts_of, tidied
 
 #: Nodes of the search for one filling, tried in this order until the lower bound is met.
 EFFORTS = (0, 200, 4000)
@@ -103,7 +103,7 @@ def cut(df: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str =
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     doc_id, text = "doc_id", "text"
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(tidied(run), PIECES + (", ids binary" if with_ids else ""))
 
 
 def _complete(free: np.ndarray, below: np.ndarray, rem: int, nodes: int) -> list[tuple[int, int]]:
@@ -232,4 +232,4 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str =
     number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("_n", number).join(before, ["length", "_salt"]).withColumn("_rank", (F.col("_before") + F.col("_n")).cast("long"))
     columns = pieces.columns
-    return ranked.select(*columns, "_rank").mapInArrow(place, PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
+    return ranked.select(*columns, "_rank").mapInArrow(tidied(place), PIECES + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")

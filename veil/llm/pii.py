@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import BoostedTrees, logistic
-from .common import slices, texts_of
+from .common import slices, texts_of, tidied
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "local_phone", "national_id", "iban", "spelled_email")
@@ -334,4 +334,4 @@ def find(df: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], names=[*carried, *added])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

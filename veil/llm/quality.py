@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import logistic
-from .common import slices, texts_of
+from .common import slices, texts_of, tidied
 
 BLOCK = 1024
 LEVEL = 3
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 out += [(i, y, data[s : s + BLOCK]) for s in starts[::step]]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "label", "block"])
 
-    found = sorted((r["doc_id"], i, r["label"], bytes(r["block"])) for i, r in enumerate(texts.filter("part = 0").mapInArrow(blocks, "doc_id long, label int, block binary").collect()))
+    found = sorted((r["doc_id"], i, r["label"], bytes(r["block"])) for i, r in enumerate(texts.filter("part = 0").mapInArrow(tidied(blocks), "doc_id long, label int, block binary").collect()))
     by_class = {y: [b for _, _, k, b in found if k == y] for y in (0, 1)}
     if not by_class[0] or not by_class[1]:
         return QualityModel(prior=prior)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             x = [sizer(d) for d in data]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a for a, _ in x], pa.float64()), pa.array([b for _, b in x], pa.float64()), pa.array([len(d) for d in data], pa.int64())], names=["doc_id", "label", "difference", "share", "size"])
 
-    measured = texts.filter("part = 1").mapInArrow(measure, "doc_id long, label int, difference double, share double, size long")
+    measured = texts.filter("part = 1").mapInArrow(tidied(measure), "doc_id long, label int, difference double, share double, size long")
     pairs = sorted((r["doc_id"], r["label"], r["difference"], r["share"]) for r in measured.filter("size > 0").collect())
     y = np.array([p[1] for p in pairs], dtype=float)
     if not len(y) or y.min() == y.max():
@@ -160,4 +160,4 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
             s = model.scores(x, np.array([not d for d in data]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

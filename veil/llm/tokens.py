@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of
+from .common import slices, texts_of, tidied
 
 #: Distinct pre-tokens and chunks that a worker remembers before it starts afresh.
 MEMO_ENTRIES = 200_000
@@ -123,4 +123,4 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
             columns = list(batch.columns) + [pa.array([len(x.encode()) for x in strings], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n])]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "n_bytes", "n_tokens", "over_limit"])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(tidied(run), schema)
