@@ -8,8 +8,9 @@
    one is compared with it only. The links found give first components.
 3. What may still link are sets of different components. Index lists with one component are skipped whole. In the
    others, entries with equal size, position range and hub answers form blocks, and pairs of blocks are skipped by
-   size, by position and by the answers already computed: for sets x, y with overlaps x', y' with the same hub,
-   |x and y| <= min(x', y') + min(shared(x) - x', shared(y) - y'). Pairs that remain are compared exactly.
+   size, by position and by the answers already computed: for sets x, y with overlaps x', y' with the same hub H,
+   |x and y| <= min(x', y', |H| - missing) + min(shared(x) - x', shared(y) - y'), where missing is a lower bound of
+   how many of H's hashes x or y lacks, from bit masks of the lacking ones. What remains is compared exactly.
 """
 
 from __future__ import annotations
@@ -289,7 +290,17 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     x = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
     y = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
     both = pairs.join(x, "x").join(y, "y")
-    return both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("t_x", "t_y")).alias("overlap"))
+    return both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("t_x", "t_y")).alias("overlap"), *_masks(F.array_except("t_y", "t_x")))
+
+
+def _masks(missing):
+    """Two 64-bit masks with a bit for each residue modulo 128 that a missing hash has."""
+    part = lambda t: F.pmod(t, F.lit(128)).cast("int")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), part(t) % 64)
+    none = F.lit(0).cast("long")
+    low = F.aggregate(missing, none, lambda m, t: F.when(part(t) < 64, m.bitwiseOR(bit(t))).otherwise(m))
+    high = F.aggregate(missing, none, lambda m, t: F.when(part(t) >= 64, m.bitwiseOR(bit(t))).otherwise(m))
+    return low.alias("m1"), high.alias("m2")
 
 
 def _linked(overlap, n, m):
@@ -297,6 +308,20 @@ def _linked(overlap, n, m):
     return overlap * den >= (n + m - overlap) * num
 
 
+def _may_link(first: str, last: str):
+    """Whether entries (or blocks of them) x and y of one index list may link, by size, position and hub answers.
+
+    first and last name the columns with the least and greatest position in the set's order.
+    """
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    need = _least_overlap(n_x, n_y)
+    by_place = F.least(f"{last}_x", f"{last}_y") + F.least(n_x - F.col(f"{first}_x"), n_y - F.col(f"{first}_y"))
+    missing = sum((F.bit_count(F.col(f"{m}_x").bitwiseOR(F.col(f"{m}_y"))) for m in ("m1", "m2")), F.lit(0))
+    outside = F.greatest(F.lit(0), F.least(F.col("shared_x") - F.col("o_x"), F.col("shared_y") - F.col("o_y")))
+    by_hub = F.least("o_x", "o_y", F.col("n_main_x") - missing) + outside
+    return _sizes_fit(n_x, n_y) & (F.least("shared_x", "shared_y") >= need) & (by_place >= need) & ((F.col("main_x") != F.col("main_y")) | (by_hub >= need))
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Links (x, y) between different sets that join the same components as all links do.
 
@@ -315,28 +340,27 @@ def links(sets: DataFrame) -> DataFrame:
     found = answers.filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
     first = materialise(connected_components(found, "x", "y"), "hub-components")
 
-    # Each set's closest hub and their overlap; a set without a close one is its own.
-    close = answers.filter("2 * overlap >= n_x").groupBy("x").agg(F.max(F.struct("overlap", (-F.col("y")).alias("h"))).alias("c"))
-    close = close.select(F.col("x").alias("doc_id"), (-F.col("c.h")).alias("main"), F.col("c.overlap").alias("o"))
+    # Each set's closest hub, their overlap and the hub's hashes that it lacks; a set without a close one is its own.
+    close = answers.filter("2 * overlap >= n_x").groupBy("x").agg(F.max(F.struct("overlap", (-F.col("y")).alias("h"), "n_y", "m1", "m2")).alias("c"))
+    close = close.select(F.col("x").alias("doc_id"), (-F.col("c.h")).alias("main"), F.col("c.overlap").alias("o"), F.col("c.n_y").alias("n_main"), "c.m1", "c.m2")
     known = posts.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(close, "doc_id", "left")
-    known = known.select("token", "doc_id", "n", "shared", "pos", F.coalesce("component", "doc_id").alias("comp"), F.coalesce("main", "doc_id").alias("main"), F.coalesce("o", "n").alias("o"))
+    own = {"component": ("comp", F.col("doc_id")), "main": ("main", F.col("doc_id")), "o": ("o", F.col("n")), "n_main": ("n_main", F.col("n")), "m1": ("m1", F.lit(0)), "m2": ("m2", F.lit(0))}
+    known = known.select("token", "doc_id", "n", "shared", "pos", *[F.coalesce(F.col(c), default).alias(name) for c, (name, default) in own.items()])
     mixed_lists = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     known = materialise(known.join(mixed_lists, "token", "left_semi"), "open-postings")
 
+    # Blocks of entries that can't link with any other block's, nor among themselves, are skipped whole.
     key = ["main", "n", "shared", "o"]
-    blocks = known.groupBy("token", *key).agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    blocks = known.groupBy("token", *key, "n_main").agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_and("m1").alias("m1"), F.bit_and("m2").alias("m2"))
     a, b = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
-    need = _least_overlap(F.col("n_x"), F.col("n_y"))
-    by_hub = F.least("o_x", "o_y") + F.least(F.col("shared_x") - F.col("o_x"), F.col("shared_y") - F.col("o_y"))
-    by_place = F.least("q_x", "q_y") + 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y")) - 1
     in_order = F.struct(*[f"{c}_x" for c in key]) <= F.struct(*[f"{c}_y" for c in key])
     several = ~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y")))
-    open_pairs = a.join(b, "token").filter(in_order & several & _sizes_fit(F.col("n_x"), F.col("n_y")) & (F.least("shared_x", "shared_y") >= need) & ((F.col("main_x") != F.col("main_y")) | (by_hub >= need)) & (by_place >= need))
-    open_pairs = open_pairs.select("token", *[f"{c}_{s}" for s in "xy" for c in key])
-    ends = [known.select("token", *[F.col(c).alias(f"{c}_{s}") for c in key], F.col("doc_id").alias(s), F.col("pos").alias(f"pos_{s}"), F.col("comp").alias(f"comp_{s}")) for s in "xy"]
-    entries = open_pairs.join(ends[0], ["token", *[f"{c}_x" for c in key]]).join(ends[1], ["token", *[f"{c}_y" for c in key]])
-    by_place = F.least("pos_x", "pos_y") + 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    rest = entries.filter((F.col("comp_x") != F.col("comp_y")) & (by_place >= need)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    open_pairs = a.join(b, "token").filter(in_order & several & _may_link("p", "q"))
+    open_pairs = materialise(open_pairs.select("token", F.explode(F.array(*[F.struct(*[F.col(f"{c}_{s}").alias(c) for c in key]) for s in "xy"])).alias("b")).select("token", "b.*").distinct(), "open-blocks")
+    left = known.join(open_pairs, ["token", *key], "left_semi")
+    ends = [left.select("token", F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in [*key, "n_main", "pos", "comp", "m1", "m2"]]) for s in "xy"]
+    entries = ends[0].join(ends[1], "token").filter((F.col("x") < F.col("y")) & (F.col("comp_x") != F.col("comp_y")) & _may_link("pos", "pos"))
+    rest = entries.select("x", "y").distinct()
     done = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = materialise(rest.join(done, ["x", "y"], "left_anti"), "open-pairs")
     more = _overlaps(rest, sets).filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
