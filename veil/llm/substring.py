@@ -15,19 +15,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, slices, texts_of
+from .common import materialise, partitions, slices, texts_of, tidied, tidy
 from .words import ROLL, ROLL_INVERSE, gram_hashes, mixed, powers, ranges, word_hashes
 
 WINDOW = 13
 MINIMISER = 3
 #: Words that a map task gathers before it sends packed strings, and text that it hashes at once.
-BATCH_WORDS = 1_500_000
-HASH_BYTES = 2 << 20
+BATCH_WORDS = 1_000_000
+HASH_BYTES = 1 << 20
+#: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
+BUCKETS = 6
 #: Removed ranges are broadcast to the documents only if their packed size is at most this; else both sides are shuffled.
 BROADCAST_BYTES = 24 << 20
 
@@ -100,6 +103,7 @@ def _send(window: int, buckets: int):
             if held >= BATCH_WORDS:
                 yield from sent(ids, words, sizes)
                 ids, words, sizes, held = [], [], [], 0
+                tidy()
         if held:
             yield from sent(ids, words, sizes)
 
@@ -140,16 +144,18 @@ def _send(window: int, buckets: int):
 
 def _count(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            ids = batch.column("doc_id")
-            for i, blob in enumerate(batch.column("blob")):
-                if ids[i].is_valid:
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, 1), batch.column("blob").slice(i, 1)], names=["doc_id", "ranges"])
-                else:
-                    parts.append(_unpacked(blob.as_buffer().to_pybytes()))
-        if not parts:
-            return
+            answered = pc.is_valid(batch.column("doc_id"))
+            if pc.any(answered).as_py():
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(answered) for c in ("doc_id", "blob")], names=["doc_id", "ranges"])
+            sent = batch.filter(pc.invert(answered))
+            for bucket, blob in zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(blob)
+        while held:  # one bucket at a time; the others stay compressed
+            yield from counted([_unpacked(blob) for blob in held.popitem()[1]])
+
+    def counted(parts: list) -> Iterator[pa.RecordBatch]:
         doc, start, count, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         length = count + window - 1
@@ -191,9 +197,9 @@ def _count(window: int):
 
 def repeated_ranges(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of doc_id and packed word ranges that windows of earlier documents cover; several rows a document."""
-    buckets = 4 * partitions(df.sparkSession)
-    sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(_send(window, buckets), "bucket int, doc_id long, blob binary")
-    return sent.repartition(partitions(df.sparkSession), "bucket").mapInArrow(_count(window), "doc_id long, ranges binary")
+    buckets = BUCKETS * partitions(df.sparkSession)
+    sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_send(window, buckets)), "bucket int, doc_id long, blob binary")
+    return sent.repartition(2 * partitions(df.sparkSession), "bucket").mapInArrow(tidied(_count(window)), "doc_id long, ranges binary")
 
 
 def removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, with_text: bool = False) -> DataFrame:
@@ -236,7 +242,7 @@ def removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
                 columns.append(pa.array(kept, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[doc_id, *others, *added])
 
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(tidied(finish), schema)
 
 
 def _kept(words: list[bytes], blobs: list[bytes]) -> list[bytes]:
