@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, slices, texts_of, tidied, tidy
+from .common import materialise, partitions, release, slices, texts_of, tidied, tidy
 from .words import ROLL, ROLL_INVERSE, gram_hashes, mixed, powers, ranges, word_hashes
 
 WINDOW = 13
@@ -30,9 +30,7 @@ MINIMISER = 3
 BATCH_WORDS = 1_000_000
 HASH_BYTES = 1 << 20
 #: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
-BUCKETS = 6
-#: Removed ranges are broadcast to the documents only if their packed size is at most this; else both sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+BUCKETS = 4
 
 
 def _runs(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,10 +214,8 @@ def removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     others = [c for c in df.columns if c not in (doc_id, text, *added)]
     plain = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = materialise(repeated_ranges(plain, window), "ranges")
-    size = found.agg(F.sum(F.length("ranges") + 48).alias("n")).first()["n"] or 0
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges"))
-    if size <= BROADCAST_BYTES:
-        by_doc = F.broadcast(by_doc)
+    release(spark)  # the packed strings aren't needed any more
+    by_doc = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges")).hint("shuffle_hash")
     rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     joined = rows.join(by_doc, rows["_id"].cast("long") == by_doc["doc_id"], "left").drop("doc_id")
     schema = T.StructType([df.schema[doc_id], *(df.schema[c] for c in others), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text)
