@@ -34,8 +34,8 @@ THRESHOLD = (75, 100)
 BATCH_SHINGLES = 1_000_000
 BATCH_DOCS = 60_000
 HASH_BYTES = 1 << 20
-#: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
-BUCKETS = 4
+#: Buckets by setting of shuffle partitions; the counting stage has as many tasks.
+BUCKETS = 2
 #: Frequent hashes that get a place of their own in the order, at most; the order is valid whatever their number.
 FREQUENT = 1 << 20
 FREQUENT_FROM = 16
@@ -149,8 +149,15 @@ def _send(size: int, buckets: int):
     return run
 
 
-def _count(buckets: int):
-    """Which hashes of a bucket are shared: replies to the documents that sent them alone, and frequent hashes."""
+def _count(homes: int):
+    """Which hashes of a bucket are shared: replies to the documents that sent them alone, and frequent hashes.
+
+    Documents and replies meet again by the hash of the id, in one of `homes` places; a task sends each place one
+    packed reply, so the rows are few whatever the number of documents.
+    """
+
+    def home(ids: np.ndarray) -> np.ndarray:
+        return (mixed(ids.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -160,15 +167,26 @@ def _count(buckets: int):
                     held.setdefault(bucket, []).append(raw)
                 else:
                     parts = _unpack(raw, "<i8", "<i4", "<i8", "<i8", "<i4")
-                    to = (mixed(parts[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                    to = home(parts[0])
                     rows = []
                     for t in np.unique(to):
                         rows.append((int(t), DOCS, _pack(*(p[to == t] for p in parts))))
                     yield _routed(rows)
+        replies: list[tuple[np.ndarray, np.ndarray]] = []
         while held:  # one bucket at a time; the others stay compressed
-            yield from answers(held.popitem()[1])
-
-    def answers(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            bucket, blobs = held.popitem()
+            yield from answers(bucket, blobs, replies)
+        if replies:
+            ids, inverse = np.unique(np.concatenate([r[0] for r in replies]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([r[1] for r in replies])).astype(np.int32)
+            to = home(ids)
+            order = np.argsort(to, kind="stable")
+            cut = np.flatnonzero(np.append(True, np.diff(to[order]) > 0)) if len(order) else np.empty(0, np.int64)
+            parts = np.split(order, cut[1:]) if len(order) else []
+            if parts:
+                yield _routed([(int(to[p[0]]), REPLIES, _pack(np.diff(ids[p], prepend=0), n[p])) for p in parts])
+
+    def answers(bucket: int, blobs: list[bytes], replies: list) -> Iterator[pa.RecordBatch]:
         keys, docs, many = [], [], []
         for raw in blobs:
             key, index, ids, counts = _unpack(raw, "<u8", "<u2", "<i8", "<u4")
@@ -186,13 +204,9 @@ def _count(buckets: int):
         total = np.add.reduceat(number, head)
         frequent = total >= FREQUENT_FROM
         if frequent.any():
-            yield _routed([(0, HOT, _pack(key[head][frequent], np.minimum(total[frequent], 2**31 - 1).astype(np.int32)))])
+            yield _routed([(bucket, HOT, _pack(key[head][frequent], np.minimum(total[frequent], 2**31 - 1).astype(np.int32)))])
         answered = (number == 1) & (np.repeat(total, np.diff(np.append(head, len(key)))) > 1)
-        ids, n = np.unique(doc[answered], return_counts=True)
-        to = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        rows = [(int(t), REPLIES, _pack(np.diff(ids[to == t], prepend=0), n[to == t].astype(np.int32))) for t in np.unique(to)]
-        if rows:
-            yield _routed(rows)
+        replies.append(np.unique(doc[answered], return_counts=True))
 
     return run
 
@@ -232,7 +246,7 @@ def counted(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     spark = df.sparkSession
     buckets = BUCKETS * partitions(spark)
     sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_send(size, buckets)), _ROUTED)
-    replied = sent.repartition(2 * partitions(spark), "to").mapInArrow(tidied(_count(buckets)), _ROUTED)
+    replied = sent.repartition(2 * partitions(spark), "to").mapInArrow(tidied(_count(max(8, partitions(spark) // 2))), _ROUTED)
     schema = "doc_id long, n int, fp1 long, fp2 long, shared int, token long, df int"
     return materialise(replied.repartition(partitions(spark), "to").mapInArrow(tidied(_gather), schema), "shingles")
 
