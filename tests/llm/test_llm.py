@@ -371,6 +371,19 @@ def test_decontamination(spark):
     assert decontamination.matches(empty(spark), bench).count() == 0 == decontamination.matches(table.drop("windows"), empty(spark, "item_id long, text string")).count()
 
 
+def test_copies_are_judged_one_by_one(spark):
+    twice = "Tom packs 12 red apples into the old wooden box and Tom packs 30 red apples into the old wooden box again"
+    item = "A train leaves the grand station at 7 and travels 120 km with Anna Smith before Anna Smith gets off and pays 35 euros for it."
+    other = item.replace("7", "9").replace("120", "400").replace("Anna Smith", "Bob Miller").replace("35", "80")
+    mixed = item.replace("Anna Smith before Anna Smith", "Bob Miller before Carl Jones")
+    docs = [(1, f"Well. {twice} and so on."), (2, f"{item} {other}"), (3, f"{other} And then. {item}"), (4, f"{other} {other.replace('9', '11')}"), (5, mixed), (6, f"{mixed} {item.replace('leaves', 'then leaves')}")]
+    bench = spark.createDataFrame([(1, twice), (2, item)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got.keys() == {(1, 1), (2, 2), (3, 2), (4, 2), (6, 2)}
+    assert not got[1, 1].changed and got[1, 1].matched == got[1, 1].windows
+    assert not got[2, 2].changed and not got[3, 2].changed and got[4, 2].changed
+
+
 # --- embeddings ---------------------------------------------------------------------------------------------
 
 

@@ -3,12 +3,12 @@
 Numbers, names and units become typed placeholders, punctuation and case go, and every run of eight tokens is a
 template window. Windows of the documents are hash-joined with those of the benchmark items. Where enough of an
 item's windows meet in a document, the slots are compared: an item's value must stand for the same document value
-throughout, so a question with other numbers and names is caught and a chance meeting of templates is not.
+throughout one copy, so a question with other numbers and names is caught and a chance meeting of templates is not.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialise
@@ -77,6 +77,32 @@ def _slot_values(tokens: Column, values: Column, start: Column) -> Column:
     return F.concat(of(0), of(1), of(2))
 
 
+def _judged(placed: DataFrame, pair: list[str], enough: Column) -> DataFrame:
+    """Pairs with enough windows whose slots are consistent: over all hits, or else along one alignment.
+
+    An alignment is an offset between document and item, or a run of hits that go forward in both with small gaps.
+    A pair that isn't consistent as a whole is judged by each of them, so that values of one copy don't contradict
+    those of another. Windows without slots contradict nothing and always count.
+    """
+    order = Window.partitionBy(*pair).orderBy("pos", "k")
+    breaks = (F.col("k") <= F.lag("k").over(order)) | (F.col("pos") - F.lag("pos").over(order) > 2 * WINDOW)
+    numbered = placed.withColumn("breaks", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    alignments = [("all", F.lit(0)), ("offset", F.col("pos") - F.col("k")), ("run", F.col("run"))]
+    each = numbered.withColumn("alignment", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at")) for kind, at in alignments])))
+    maps = F.array_distinct(F.flatten(F.collect_set("slots")))
+    summed = each.groupBy(*pair, "windows", "alignment").agg(maps.alias("slots"), F.countDistinct("h").alias("met"), F.countDistinct(F.when(F.size("slots") == 0, F.col("h"))).alias("plain"))
+    summed = summed.withColumn("consistent", F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")).withColumn("changed", F.exists("slots", lambda p: p["i"] != p["d"]))
+    whole = F.col("alignment.kind") == "all"
+    part = F.struct((F.col("met") - F.col("plain")).alias("slotted"), (~F.col("changed")).alias("same"))
+    by_pair = summed.groupBy(*pair, "windows").agg(
+        F.max(F.when(whole, F.struct("plain", F.when(F.col("consistent"), F.col("met")).otherwise(F.col("plain")).alias("matched"), "changed"))).alias("w"),
+        F.max(F.when(~whole & F.col("consistent"), part)).alias("p"),
+    )
+    along = F.col("w.plain") + F.col("p.slotted")
+    held = F.col("w.matched") >= enough
+    return by_pair.select(*pair, "windows", F.when(held, F.col("w.matched")).otherwise(along).alias("matched"), F.when(held, F.col("w.changed")).otherwise(~F.col("p.same")).alias("changed")).filter(F.col("matched") >= enough)
+
+
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, matched, windows, changed): items that a document holds, by template.
 
@@ -110,13 +136,8 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     placed = hits.join(likely, pair).join(texts, ["doc_id", "doc_row"]).join(item, ["item_id", "item_row"])
     placed = placed.filter(F.slice("tokens", F.col("pos") + 1, WINDOW) == F.slice("item_tokens", F.col("k") + 1, WINDOW))
     pairs = F.arrays_zip(_slot_values(F.col("item_tokens"), F.col("item_slots"), F.col("k")).alias("i"), _slot_values(F.col("tokens"), F.col("values"), F.col("pos")).alias("d"))
-    placed = placed.select(*pair, "windows", "h", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))).alias("slots"))
-    maps = F.array_distinct(F.flatten(F.collect_set("slots")))
-    summed = placed.groupBy(*pair, "windows").agg(maps.alias("slots"), F.countDistinct("h").alias("all_met"), F.countDistinct(F.when(F.size("slots") == 0, F.col("h"))).alias("plain_met"))
-    consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["i"]))) == F.size("slots")
-    matched = F.when(consistent, F.col("all_met")).otherwise(F.col("plain_met"))
-    changed = F.exists("slots", lambda p: p["i"] != p["d"])
-    judged = summed.select("doc_id", "item_id", "windows", matched.alias("matched"), changed.alias("changed")).filter(F.col("matched") >= enough)
+    placed = placed.select(*pair, "windows", "h", "pos", "k", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))).alias("slots"))
+    judged = _judged(placed, pair, enough).select("doc_id", "item_id", "windows", "matched", "changed")
     best = F.max(F.struct("matched", "windows", "changed")).alias("b")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.windows").alias("windows"), F.col("b.changed").alias("changed"))
 
