@@ -384,6 +384,17 @@ def test_copies_are_judged_one_by_one(spark):
     assert not got[2, 2].changed and not got[3, 2].changed and got[4, 2].changed
 
 
+def test_items_without_usable_windows_are_searched_whole(spark):
+    numbers = "Add 3 4 5 6 7 and 8 9 10 11 12 and 13 14 15 then 16 17 18"
+    items = [(1, "What is 17 * 24?"), (2, "How many red apples does he have after 5?"), (3, numbers), (4, "?!"), (5, None), (6, "How many red apples left after 5?")]
+    docs = [(1, "A question: What is 17 * 24? And on."), (2, "what is 17 * 25?"), (3, "Say how many red apples left after 9? Yes."), (4, f"Sums. {numbers}."), (5, numbers.replace("11", "12")), (6, "so WHAT IS 17 * 24"), (7, "how many red apples does he have after 5"), (8, "??")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = spark.createDataFrame([*docs, docs[0]], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.matched, x.windows, x.changed) for x in decontamination.matches(table, bench).collect()}
+    assert got == {(1, 1): (1, 1, False), (3, 6): (1, 1, True), (4, 3): (1, 1, False), (5, 3): (1, 1, True), (6, 1): (1, 1, False), (7, 2): (2, 2, False)}
+    assert {x.doc_id for x in decontamination.decontaminated(table, bench).collect()} >= {2, 8}
+
+
 # --- embeddings ---------------------------------------------------------------------------------------------
 
 

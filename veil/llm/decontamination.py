@@ -58,14 +58,38 @@ def slots(text: Column) -> Column:
     )
 
 
-def _hashes(tokens: Column) -> Column:
-    """A hash for each window; texts shorter than a window have none."""
-    return F.when(F.size(tokens) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(tokens, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+def _hashes(tokens: Column, n: Column | int = WINDOW) -> Column:
+    """A hash for each window of n tokens; texts shorter than a window have none."""
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.xxhash64(F.slice(tokens, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _slot_values(tokens: Column, values: Column, start: Column) -> Column:
-    """kind:value of each placeholder in the window that starts at the 0-based token."""
-    window = F.slice(tokens, start + 1, WINDOW)
+def _plain(text: Column) -> Column:
+    """The words and numbers of a text, lower-cased and without placeholders."""
+    spaced = F.trim(F.regexp_replace(F.lower(F.translate(text, "<>", "  ")), OTHER, " "))
+    return F.when(F.length(spaced) > 0, F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
+
+
+def _lengths(items: DataFrame, n: str) -> list[int]:
+    """The distinct lengths of items that are searched whole: one number each."""
+    return sorted(r[0] for r in items.select(n).distinct().collect())
+
+
+def _verbatim(rows: DataFrame, short: DataFrame) -> DataFrame:
+    """Rows (doc_id, item_id) of documents that hold all words and numbers of a short item in a row, as they are."""
+    wanted = materialise(short.select("item_id", F.array_join("plain", " ").alias("run"), F.size("plain").alias("n")).filter("n > 0").distinct(), "short-items")
+    lengths = _lengths(wanted, "n")
+    if not lengths:
+        return wanted.select(F.lit(None).cast("long").alias("doc_id"), "item_id")
+    size = wanted.agg(F.count("*"), F.sum(F.length("run") + 32)).first()
+    index = broadcast_if_small(wanted, size[0], -(-size[1] // size[0])).select("item_id", "run")
+    each = rows.withColumn("plain", _plain(F.col("text"))).select("doc_id", "plain", F.explode(F.lit(lengths)).alias("n")).filter(F.size("plain") >= F.col("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("plain") - F.col("n") + 1), lambda i: F.array_join(F.slice("plain", i, F.col("n")), " "))
+    return each.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(index, "run").select("doc_id", "item_id").distinct()
+
+
+def _slot_values(tokens: Column, values: Column, start: Column, n: Column) -> Column:
+    """kind:value of each placeholder in the window of n tokens that starts at the 0-based token."""
+    window = F.slice(tokens, start + 1, n)
     before = F.slice(tokens, F.lit(1), start)
 
     def of(kind: int) -> Column:
@@ -107,21 +131,33 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """Rows (doc_id, item_id, matched, windows, changed): items that a document holds, by template.
 
     matched: how many of the item's windows meet with consistent slots; windows: how many usable ones it has;
-    changed: whether slot values differ from the item's. Null and empty texts match nothing; items with fewer
-    tokens than a window, or with placeholders only, can't be searched for. Repeated rows of an id count as one
+    changed: whether slot values differ from the item's. An item without a usable window (fewer tokens than a
+    window, or too few literal words in each) is searched whole, as one window of its own length: word for word,
+    and by template if it has LITERALS literal words in all. Null and empty texts, and items without any word or
+    number, match nothing. Repeated rows of an id count as one
     text each and yield one row; rows without an id are left out. Whole texts are searched; empty tables give an
     empty result.
     """
     item = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null and text is not null")
-    item = with_tokens(item, "text", "item_tokens").select("item_id", F.xxhash64("text").alias("item_row"), "item_tokens", slots(F.col("text")).alias("item_slots"))
-    item = materialise(item.dropDuplicates(["item_id", "item_row"]), "items")
-    literal = F.size(F.filter(F.slice("item_tokens", F.col("k") + 1, WINDOW), lambda t: ~t.isin(*PLACEHOLDERS)))
-    windows = materialise(item.select("item_id", "item_row", "item_tokens", F.posexplode(_hashes(F.col("item_tokens"))).alias("k", "h")).filter(literal >= LITERALS).select("item_id", "item_row", "k", "h"), "item-windows")
+    item = with_tokens(item, "text", "item_tokens").select("item_id", F.xxhash64("text").alias("item_row"), "item_tokens", slots(F.col("text")).alias("item_slots"), _plain(F.col("text")).alias("plain"))
+    literals = lambda tokens: F.size(F.filter(tokens, lambda t: ~t.isin(*PLACEHOLDERS)))
+    places = F.when(F.size("item_tokens") >= WINDOW, F.sequence(F.lit(0), F.size("item_tokens") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    usable_at = F.exists(places, lambda k: literals(F.slice("item_tokens", k + 1, WINDOW)) >= LITERALS)
+    item = item.dropDuplicates(["item_id", "item_row"]).withColumn("n", F.when(usable_at, F.lit(WINDOW)).otherwise(F.size("item_tokens"))).withColumn("short", ~usable_at)
+    item = materialise(item, "items")
+    whole = F.col("short") & (literals(F.col("item_tokens")) >= LITERALS)
+    windows = item.filter(~F.col("short") | whole).select("item_id", "item_row", "item_tokens", "n", F.posexplode(_hashes(F.col("item_tokens"), F.col("n"))).alias("k", "h"))
+    windows = materialise(windows.filter(literals(F.slice("item_tokens", F.col("k") + 1, F.col("n"))) >= LITERALS).select("item_id", "item_row", "k", "h"), "item-windows")
+    lengths = _lengths(item.filter(whole & (F.col("n") != WINDOW)), "n")
+    short = item.filter("short")
     index = broadcast_if_small(windows, windows.count(), 40)
     usable = windows.groupBy("item_id", "item_row").agg(F.countDistinct("h").alias("windows"))
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("doc_id is not null and text is not null")
     found = with_tokens(rows, "text", "tokens").select("doc_id", F.xxhash64("text").alias("doc_row"), F.posexplode(_hashes(F.col("tokens"))).alias("pos", "h"))
+    if lengths:
+        longer = with_tokens(rows, "text", "tokens").select("doc_id", F.xxhash64("text").alias("doc_row"), "tokens", F.explode(F.lit(lengths)).alias("n"))
+        found = found.unionByName(longer.select("doc_id", "doc_row", F.posexplode(_hashes(F.col("tokens"), F.col("n"))).alias("pos", "h")))
     hits = materialise(found.join(index, "h").select("doc_id", "doc_row", "pos", "h", "item_id", "item_row", "k"), "template-hits")
     pair = ["doc_id", "doc_row", "item_id", "item_row"]
     enough = F.least(F.lit(ENOUGH), F.ceil(F.col("windows") / 2))
@@ -133,12 +169,16 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     own = broadcast_if_small(own, own.count(), 32, 16 << 20)
     texts = rows.withColumn("doc_row", F.xxhash64("text")).join(own, ["doc_id", "doc_row"]).dropDuplicates(["doc_id", "doc_row"])
     texts = with_tokens(texts, "text", "tokens").select("doc_id", "doc_row", "tokens", slots(F.col("text")).alias("values"))
-    placed = hits.join(likely, pair).join(texts, ["doc_id", "doc_row"]).join(item, ["item_id", "item_row"])
-    placed = placed.filter(F.slice("tokens", F.col("pos") + 1, WINDOW) == F.slice("item_tokens", F.col("k") + 1, WINDOW))
-    pairs = F.arrays_zip(_slot_values(F.col("item_tokens"), F.col("item_slots"), F.col("k")).alias("i"), _slot_values(F.col("tokens"), F.col("values"), F.col("pos")).alias("d"))
+    placed = hits.join(likely, pair).join(texts, ["doc_id", "doc_row"]).join(item.drop("plain", "short"), ["item_id", "item_row"])
+    placed = placed.filter(F.slice("tokens", F.col("pos") + 1, F.col("n")) == F.slice("item_tokens", F.col("k") + 1, F.col("n")))
+    pairs = F.arrays_zip(_slot_values(F.col("item_tokens"), F.col("item_slots"), F.col("k"), F.col("n")).alias("i"), _slot_values(F.col("tokens"), F.col("values"), F.col("pos"), F.col("n")).alias("d"))
     placed = placed.select(*pair, "windows", "h", "pos", "k", F.transform(pairs, lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"))).alias("slots"))
     judged = _judged(placed, pair, enough).select("doc_id", "item_id", "windows", "matched", "changed")
-    best = F.max(F.struct("matched", "windows", "changed")).alias("b")
+    judged = judged.withColumn("verbatim", F.lit(False))
+    if not short.isEmpty():
+        one = F.lit(1).cast("long")
+        judged = judged.unionByName(_verbatim(rows, short).select("doc_id", "item_id", one.alias("windows"), one.alias("matched"), F.lit(False).alias("changed"), F.lit(True).alias("verbatim")))
+    best = F.max(F.struct("matched", "windows", "verbatim", "changed")).alias("b")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.matched").alias("matched"), F.col("b.windows").alias("windows"), F.col("b.changed").alias("changed"))
 
 
