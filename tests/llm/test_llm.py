@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -233,6 +234,23 @@ def test_url_patterns_equal_running_every_regex(spark):
     assert urls.judge(empty(spark, "page_id long, url string")).count() == 0
 
 
+def test_url_patterns_imply_their_tokens(spark):
+    parts = ["casino", "online", "play", "win", "bonus", "-", "/", "free", "bets", "cheap", "pills", "ads", "track", "xxx", "cams", "payday", "loans", "a"]
+    matched = set()
+    for n in range(1, 6):
+        for chosen in itertools.product(parts if n < 5 else parts[:7], repeat=n):
+            url = "".join(chosen)
+            for rule in urls.PATTERN_RULES:
+                if re.search(rule.regex, url):
+                    matched.add(rule.name)
+                    tokens = set(urls.TOKEN.findall(url))
+                    assert rule.keys and all(tokens & set(key) for key in rule.keys), (rule.name, url)
+    assert matched == {rule.name for rule in urls.PATTERN_RULES}
+    joined = ["http://onlinecasino-bonus.example.com/en/1", "https://www.playcasino.win/", "http://a.com/WinCasino/slots", "http://a.com/casino-win", "http://a.com/mycasino-win"]
+    out = urls.judge(spark.createDataFrame(enumerate(joined), "page_id long, url string"), host_rules=()).orderBy("page_id").collect()
+    assert [x.verdict for x in out] == ["block", "block", "block", "block", "allow"]
+
+
 def test_main_text():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies, yes, really, all of them, always and everywhere.</div>

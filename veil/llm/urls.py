@@ -1,7 +1,7 @@
 """URL verdicts: host rules by longest match, and pattern rules fetched by their rarest literal token.
 
-A pattern rule names literal tokens that every URL it matches must hold. Each rule is filed under the one of
-them that the fewest URLs hold; a URL's tokens fetch the rules filed under them, and only those rules' regular
+A pattern rule names literal tokens that every URL it matches must hold, or alternatives of which it must hold
+one. Each rule is filed under the literal, or all the alternatives, that the fewest URLs hold; a URL's tokens fetch the rules filed under them, and only those rules' regular
 expressions run. The cost of a URL follows its tokens, not the number of rules.
 """
 
@@ -38,19 +38,25 @@ class HostRule:
 
 @dataclass(frozen=True)
 class PatternRule:
-    """verdict for URLs (A-Z lower-cased) that match the regex; each of them holds all the literal tokens."""
+    """verdict for URLs (A-Z lower-cased) that match the regex; each of them holds all the literal tokens, and one of any_of if given."""
 
     name: str
     regex: str
     literals: tuple[str, ...]
     verdict: str = "block"
+    any_of: tuple[str, ...] = ()
+
+    @property
+    def keys(self) -> list[tuple[str, ...]]:
+        """Sets of tokens; every URL that the rule matches holds one token of each set."""
+        return [(t,) for t in self.literals] + ([self.any_of] if self.any_of else [])
 
 
 HOST_RULES = (HostRule("net/", "block"), HostRule("example.net/en/", "allow"), HostRule("example.com/de/", "block"), HostRule("org/fr/", "allow"))
 
 _B, _E = r"(?:^|[^a-z0-9])", r"(?:[^a-z0-9]|$)"
 PATTERN_RULES = (
-    PatternRule("casino", rf"{_B}(?:online|play|win)?[^a-z0-9]*casino[^a-z0-9]+(?:win|online|bonus|slots?){_E}", ("casino",)),
+    PatternRule("casino", rf"{_B}(?:online|play|win)?[^a-z0-9]*casino[^a-z0-9]+(?:win|online|bonus|slots?){_E}", (), any_of=("casino", "onlinecasino", "playcasino", "wincasino")),
     PatternRule("bets", rf"{_B}free[^a-z0-9]+bets{_E}", ("free", "bets")),
     PatternRule("pills", rf"{_B}cheap[^a-z0-9]+pills{_E}", ("cheap", "pills")),
     PatternRule("tracker", rf"{_B}ads[^a-z0-9]+track{_E}", ("ads", "track")),
@@ -87,14 +93,15 @@ class HostIndex:
 
 
 class PatternIndex:
-    """Pattern rules filed under their rarest literal token, given how many URLs hold each token."""
+    """Pattern rules filed under their rarest literal token or alternatives, given how many URLs hold each token."""
 
     def __init__(self, rules: Sequence[PatternRule], frequency: dict[str, int]):
         self.order = {rule.name: i for i, rule in enumerate(rules)}
         self.by_token: dict[str, list[tuple[PatternRule, re.Pattern]]] = {}
         for rule in rules:
-            rarest = min(rule.literals, key=lambda t: (frequency.get(t, 0), t))
-            self.by_token.setdefault(rarest, []).append((rule, re.compile(rule.regex)))
+            rarest = min(rule.keys, key=lambda key: (sum(frequency.get(t, 0) for t in key), key))
+            for token in dict.fromkeys(rarest):
+                self.by_token.setdefault(token, []).append((rule, re.compile(rule.regex)))
 
     def match(self, url: str | None) -> PatternRule | None:
         """The first of the rules, in their given order, that matches."""
@@ -104,8 +111,8 @@ class PatternIndex:
 
 
 def literal_frequency(df: DataFrame, url: str, rules: Sequence[PatternRule]) -> dict[str, int]:
-    """Over all rows, how many URLs hold each of the rules' literals; as many numbers as there are literals."""
-    literals = sorted({t for rule in rules for t in rule.literals})
+    """Over all rows, how many URLs hold each of the rules' literals and alternatives; as many numbers as there are of them."""
+    literals = sorted({t for rule in rules for key in rule.keys for t in key})
     if not literals:
         return {}
     tokens = F.array_distinct(F.split(F.translate(F.col(f"`{url}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+"))
