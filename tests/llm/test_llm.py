@@ -264,6 +264,23 @@ def test_main_text():
     assert extraction.main_text("just text") == "just text"
 
 
+def test_main_text_keeps_short_blocks_of_long_pages():
+    r = random.Random(6)
+    long = [prose(r, 80) + ", and more, much more." for _ in range(40)]
+    body = "".join(f"<p>{x}</p>" for x in long)
+    short = ["Title", "A short lead.", *long, "Notes", "one", "two", "The end."]
+    tail = "<section><h2>Notes</h2><ul><li>one<li>two</ul></section><p>The end."
+    around = "<body><nav><a href=/>Home</a></nav>{}<aside>Side</aside><footer>foot</footer></body>"
+    layouts = [
+        "<article><h1>Title</h1><p>A short lead.</p><div class='content'>{}</div>{}</article>", "<main><h1>Title</h1><p>A short lead.</p><article>{}</article>{}</main>", "<div role=main><div><h1>Title</h1><p>A short lead.</p></div><div><div class=story>{}</div></div>{}</div>",
+        "<div><h1>Title</h1><p>A short lead.</p><div class=content>{}</div>{}<ul><li><a href=/a>Elsewhere</a></ul></div>", "<h1>Title</h1><p>A short lead.</p><div><div class=content>{}</div>{}</div>",
+    ]
+    for layout in layouts:
+        assert extraction.main_text(around.format(layout.format(body, tail))).split("\n") == short, layout
+    before = extraction.main_text(around.format(f"<div><h1>Title</h1><article><h2>Part</h2>{body}</article></div>"))
+    assert before.split("\n") == ["Title", "Part", *long]
+
+
 def test_extraction_columns(spark):
     rows = [(1, "u", "<p>a b</p>", "mine"), (2, None, None, "mine"), (2, None, None, "mine")]
     out = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).orderBy("page_id").collect()

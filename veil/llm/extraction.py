@@ -2,8 +2,10 @@
 
 The page becomes a light tree. Subtrees that are boilerplate by tag, role or class are set aside. Each
 paragraph passes points for its length and commas to its ancestors, fewer with distance; a container's points
-are discounted by the share of its text that is links. The container with most points and those siblings that
-are content too are kept, and their blocks are joined in page order.
+are discounted by the share of its text that is links. The container with most points marks the place; all that
+isn't set aside in its article or main element is kept, of any length. Where there is none, all is kept in the lowest
+ancestor that holds its siblings and the page's h1, except blocks beside it that are mostly links. Blocks are joined
+in page order.
 """
 
 from __future__ import annotations
@@ -47,10 +49,10 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "bonus", "chars", "linked", "points", "children")
+    __slots__ = ("tag", "parent", "dropped", "bonus", "named", "chars", "linked", "points", "children")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float, named: bool = False):
+        self.tag, self.parent, self.dropped, self.bonus, self.named = tag, parent, dropped, bonus, named
         self.chars = self.linked = 0
         self.points = 0.0
         self.children: list[Node | str] = []
@@ -58,17 +60,19 @@ class Node:
             parent.children.append(self)
 
 
-def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float]:
-    """Whether the element is boilerplate, and points for its tag and class."""
-    bonus = 25.0 if tag in ("article", "main") else 0.0
+def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float, bool]:
+    """Whether the element is boilerplate, points for its tag and class, and whether it is an article or main by tag or role."""
+    named = tag in ("article", "main")
+    bonus = 25.0 * named
     if tag in DROPPED:
-        return True, bonus
+        return True, bonus, named
     unlikely = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "role":
             unlikely |= value.strip() in DROPPED_ROLES
             bonus += 25.0 * (value.strip() in ("main", "article"))
+            named |= value.strip() in ("main", "article")
         elif name in ("class", "id"):
             for item in value.split():
                 words = set(_WORDS.findall(item))
@@ -80,7 +84,7 @@ def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float]:
             unlikely |= "display:none" in value.replace(" ", "")
         else:
             unlikely |= name == "hidden" or value == "true"
-    return unlikely and tag not in KEPT_TAGS, bonus
+    return unlikely and tag not in KEPT_TAGS, bonus, named
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -143,8 +147,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if tag == "body":
             del stack[1:]  # an unclosed head ends here
         top = stack[-1]
-        dropped, bonus = _judged(tag, attributes, top)
-        node = Node(tag, top, dropped or top.dropped, bonus)
+        dropped, bonus, named = _judged(tag, attributes, top)
+        node = Node(tag, top, dropped or top.dropped, bonus, named)
         nodes.append(node)
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
@@ -199,6 +203,41 @@ def _score(nodes: list[Node]) -> Node | None:
     return best
 
 
+def _kept(nodes: list[Node], best: Node) -> list[Node]:
+    """The subtrees that make up the main text, in page order; blocks of links beside the best container are set aside."""
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    titled: set[int] = set()
+    for node in nodes:
+        if node.tag == "h1" and not node.dropped and node.chars:
+            above: Node | None = node
+            while above is not None and id(above) not in titled:
+                titled.add(id(above))
+                above = above.parent
+    named = [i for i, node in enumerate(path) if node.named]
+    if not named:
+        at = 0 if best.tag == "body" else 1
+        at = next((i for i in range(at, len(path)) if id(path[i]) in titled), at)
+        for node in path[:at]:
+            for beside in node.parent.children:
+                if isinstance(beside, Node) and beside is not node and beside.tag in BLOCK and beside.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and 2 * beside.linked > beside.chars:
+                    beside.dropped = True
+        return [path[at]]
+    region = path[named[-1]]
+    chosen = {id(region)}
+    level = max(10.0, 0.2 * best.points)
+    for sibling in region.parent.children if region.parent is not None and region.tag != "body" else []:
+        if isinstance(sibling, str) or sibling.dropped:
+            continue
+        density = sibling.linked / sibling.chars if sibling.chars else 0.0
+        if sibling.points >= level or sibling.tag == "p" and sibling.chars > 80 and density < 0.25:
+            chosen.add(id(sibling))
+    if id(region) not in titled:  # its heading may stand before it
+        chosen.update(id(x) for above in path[named[-1] + 1 :] for x in above.children if isinstance(x, Node) and x.tag == "h1" and not x.dropped)
+    return [node for node in nodes if id(node) in chosen]
+
+
 def _blocks(node: Node, blocks: list[str], parts: list[str]) -> None:
     """The node's blocks in page order; iterative, since pages may nest deeply."""
     work: list[tuple[Node | str, bool]] = [(node, False)]
@@ -239,17 +278,8 @@ def main_text(html: str | None) -> str:
         _blocks(root, blocks, parts)
         _flush(blocks, parts)
         return "\n".join(blocks)
-    kept: list[Node] = []
-    level = max(10.0, 0.2 * best.points)
-    for sibling in best.parent.children if best.parent is not None and best.tag != "body" else [best]:
-        if isinstance(sibling, str) or sibling.dropped:
-            continue
-        density = sibling.linked / sibling.chars if sibling.chars else 0.0
-        text_like = sibling.tag == "p" and sibling.chars > 80 and density < 0.25
-        if sibling is best or sibling.points >= level or text_like:
-            kept.append(sibling)
     blocks, parts = [], []
-    for node in kept:
+    for node in _kept(nodes, best):
         _blocks(node, blocks, parts)
         _flush(blocks, parts)
     return "\n".join(blocks)
