@@ -264,6 +264,13 @@ def test_main_text():
     assert extraction.main_text("just text") == "just text"
 
 
+def test_quotes_inside_tags():
+    for tag in ("<p title=it's>", '<p title=5">', "<p it's>", "<p title = it's id=x>", "<p title='a > b' id=\"c>'d\">", "<p title = 'it>s'>", "<p title=>", "<p title='open>", "<a href=/x?y='z>"):
+        found = extraction.main_text(f"<article>{tag}One para.</a></p><p>Two don't lose this</p><p>Three said \"so</p></article>")
+        assert found.split("\n") == ["One para.", "Two don't lose this", 'Three said "so'] or tag == "<p title='open>", tag
+    assert extraction.main_text("<p title='open>One") == extraction.main_text("<p>One") == "One"
+
+
 def test_main_text_keeps_short_blocks_of_long_pages():
     r = random.Random(6)
     long = [prose(r, 80) + ", and more, much more." for _ in range(40)]

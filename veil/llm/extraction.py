@@ -43,8 +43,9 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPE = frozenset("ul ol dl table article section div body main html blockquote td th".split())
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_REST = re.compile(r"""(?>[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>""")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+#: A quote opens a string only right after =; an unquoted value goes up to white space or >.
+_REST = re.compile(r"""(?>(?:[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*)>""")
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""", re.I)
 _WORDS = re.compile(r"[^\W_]+")
 
 
