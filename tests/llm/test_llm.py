@@ -195,6 +195,20 @@ def test_pii_columns_and_redaction(spark):
     assert pii.find(empty(spark)).count() == 0
 
 
+def test_long_keyed_secrets_are_covered_whole():
+    r = random.Random(8)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    finder = pii.Finder()
+    for value in (letters(300), ".".join(letters(100) for _ in range(3)), letters(40) + "." + letters(2000), "!".join(letters(29) + "7" for _ in range(10))):
+        text = f"words here token={value} end of it"
+        base, added = finder.spans(text)
+        assert pii.redacted(text, base + added) == "words here token=[SECRET] end of it"
+    text = f"token={letters(250)}/bob@mail.example.com/{letters(250)} end"
+    base, added = finder.spans(text)
+    assert pii.redacted(text, base + added) == "token=[SECRET][EMAIL][SECRET] end"
+    assert pii._around([(0, 3), (5, 7), (6, 9), (20, 30)], 2, 22) == [(3, 5), (9, 20)]
+
+
 def test_trees_find_generated_examples():
     r = random.Random(99)
     finder = pii.Finder()

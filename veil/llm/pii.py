@@ -93,7 +93,9 @@ def written(spans: list[Span]) -> str:
 
 # --- candidates -------------------------------------------------------------------------------------------
 
-_KEYED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{4,200})")
+_KEYED = re.compile(r"(?i)(?:password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]{4,})")
+#: Longer keyed secrets are judged by their first so many characters.
+HEAD = 200
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]+")
 _RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=-")
 _NUMBER = re.compile(r"\(?[0-9][0-9 ().\-/]{5,28}[0-9]")
@@ -270,14 +272,19 @@ class Finder:
         if not proposed:
             return base, []
         taken = [(s, e) for _, s, e in base]
-        free = [c for c in dict.fromkeys(proposed) if not _overlaps(taken, c)]
+        free = [(c, c) for c in dict.fromkeys(proposed) if not _overlaps(taken, c)]
+        if any(kind == "secret" and end - start > HEAD for kind, start, end in proposed):
+            for start, end in (m.span(1) for m in _KEYED.finditer(text) if m.end(1) - m.start(1) > HEAD):
+                head = ("secret", start, start + HEAD)
+                if not _overlaps(taken, head):
+                    free += [(("secret", a, b), head) for a, b in _around(taken, start, end)]
         if not free:
             return base, []
-        raw = self.trees.raw(np.array([features(text, c) for c in free]))
+        raw = self.trees.raw(np.array([features(text, judged) for _, judged in free]))
         probability = 1 / (1 + np.exp(-(raw * self.curve[0] + self.curve[1])))
         added: list[Span] = []
         used: list[tuple[int, int]] = []
-        for p, c in sorted(zip(probability.tolist(), free, strict=True), key=lambda x: (-x[0], x[1][1], -x[1][2], x[1][0])):
+        for p, c in sorted(zip(probability.tolist(), (c for c, _ in free), strict=True), key=lambda x: (-x[0], x[1][1], -x[1][2], x[1][0])):
             if p >= self.thresholds[c[0]] and not _overlaps(used, c):
                 added.append(c)
                 used.append(c[1:])
@@ -288,6 +295,17 @@ def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
     return any(span[1] < e and s < span[2] for s, e in taken)
 
 
+def _around(taken: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """The parts from start to end that no taken span covers."""
+    parts = []
+    for s, e in sorted(taken):
+        if start < s < end:
+            parts.append((start, s))
+        if s < end and e > start:
+            start = e
+    return [*parts, (start, end)] if start < end else parts
+
+
 def redacted(text: str, spans: list[Span]) -> str:
     """The text with each span (overlapping ones joined) replaced by its kind in brackets."""
     out, at = [], 0
