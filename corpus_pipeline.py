@@ -25,9 +25,14 @@ def _set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, list]:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of documents given here, doesn't reject."""
+    """Documents that the classifier, fitted on the labels of documents given here, doesn't reject.
+
+    Where the labels give no model (none of one class that may be learned from), nothing tells documents apart and all are kept.
+    """
     own, back = _set_aside(docs, ("score", "predicted"))
     model = quality.fit(own, table(spark, sf_dir, "labels"))
+    if not model.curve:
+        return docs
     return quality.score(own, model).filter("predicted = 1").select(*back)
 
 

@@ -76,3 +76,11 @@ def test_empty_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, data).count() == 0, name
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(4, 1), (5, 7)]])
+def test_quality_keeps_all_without_a_model(spark, tmp_path, labels):
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "some text of a clean document", "mine"), (2, "", "mine"), (3, None, "mine")], "doc_id long, text string, score string")
+    kept = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [1, 2, 3]
