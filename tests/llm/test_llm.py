@@ -400,6 +400,19 @@ def test_patterns_use_every_piece_and_beat_best_fit():
         assert sum(m for _, m in found) <= best_fit(sizes, 50)
 
 
+def test_packing_goes_back_to_other_fillings():
+    # Cut from ten full bins; the three passes alone take eleven.
+    ones = [129, 3, 62, 143, 43, 33, 55, 112, 123, 16, 61, 57, 34, 109, 32, 105, 63, 44, 18, 138, 2, 31, 167, 147, 39, 13, 181]
+    counts = {6: 2, 14: 2} | dict.fromkeys(ones, 1)
+    patterns = packing.plan_patterns(counts, 200)
+    used = {}
+    for uses, times in patterns:
+        assert sum(s * c for s, c in uses) <= 200
+        for s, c in uses:
+            used[s] = used.get(s, 0) + c * times
+    assert used == counts and sum(times for _, times in patterns) == 10
+
+
 # --- decontamination ----------------------------------------------------------------------------------------
 
 

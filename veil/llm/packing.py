@@ -22,6 +22,9 @@ from .common import materialise, partitions, slices, texts_of, tidied
 
 #: Nodes of the search for one filling, tried in this order until the lower bound is met.
 EFFORTS = (0, 200, 4000)
+#: Bins that the search over alternative fillings tries where these miss the bound, and fillings it weighs for each.
+BACKTRACKS = 2000
+FILLINGS = 50
 
 
 class TokenIds:
@@ -152,9 +155,97 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tupl
             best, bins = found, sum(m for _, m in found)
         if bins <= least:
             break
+    left = BACKTRACKS
+    while best and bins > least and left > 0:
+        found, left = _search(counts, capacity, (bins - 1) * capacity - total, left)
+        if found is None:
+            break
+        best, bins = found, sum(m for _, m in found)
     return best or []
 
 
+def _fillings(free: np.ndarray, below: np.ndarray, rem: int) -> list[list[tuple[int, int]]]:
+    """Undominated fillings of rem, least waste first: no used piece, nor none, has a free larger one that fits in its place."""
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    budget = 20 * FILLINGS
+
+    def larger(size: int, left: int, used: dict[int, int]) -> bool:
+        other = int(below[min(size + left, len(below) - 1)])
+        while other > size:
+            if free[other] > used.get(other, 0):
+                return True
+            other = int(below[other - 1])
+        return False
+
+    def walk(rem: int, cap: int, chosen: list[tuple[int, int]]) -> None:
+        nonlocal budget
+        budget -= 1
+        used = dict(chosen)
+        if not any(larger(size, rem, used) for size in (0, *used)):
+            found.append((rem, chosen[:]))
+        size = int(below[min(rem, cap)])
+        while size and budget > 0 and len(found) < FILLINGS:
+            for copies in range(min(int(free[size]), rem // size), 0, -1):
+                chosen.append((size, copies))
+                walk(rem - size * copies, size - 1, chosen)
+                chosen.pop()
+            size = int(below[size - 1])
+
+    walk(rem, rem, [])
+    return [filling for _, filling in sorted(found, key=lambda f: f[0])]
+
+
+def _search(counts: dict[int, int], capacity: int, allowed: int, nodes: int):
+    """Patterns with at most the allowed waste, by backtracking over undominated fillings, and the nodes left.
+
+    None if the nodes end before, or none is met; with FILLINGS of a bin weighed at most, that proves nothing.
+    """
+    free = np.zeros(capacity + 1, dtype=np.int64)
+    for size, n in counts.items():
+        free[size] = n
+    sizes = np.arange(capacity + 1)
+
+    def choices(free: np.ndarray, waste: int):
+        """The next bin's fillings with the largest free piece, as often as they fit and then less often."""
+        below = np.maximum.accumulate(np.where(free > 0, sizes, 0))
+        top = int(below[capacity])
+        rest = free.copy()
+        rest[top] -= 1
+        options = _fillings(rest, np.maximum.accumulate(np.where(rest > 0, sizes, 0)), capacity - top)
+        for filling in options:
+            uses = {top: 1}
+            for size, copies in filling:
+                uses[size] = uses.get(size, 0) + copies
+            lost = capacity - sum(s * c for s, c in uses.items())
+            times = min(int(free[s]) // c for s, c in uses.items())
+            if lost:
+                times = min(times, (allowed - waste) // lost)
+            while times:
+                after = free.copy()
+                for s, c in uses.items():
+                    after[s] -= c * times
+                yield after, waste + times * lost, (sorted(uses.items(), reverse=True), times)
+                times //= 2
+
+    if not free.any():
+        return [], nodes
+    stack, patterns = [choices(free, 0)], []
+    while stack and nodes > 0:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if patterns:
+                patterns.pop()
+            continue
+        nodes -= 1
+        after, waste, pattern = step
+        patterns.append(pattern)
+        if not after.any():
+            return patterns, nodes
+        stack.append(choices(after, waste))
+    return None, nodes
+
+
 def _build(counts: dict[int, int], capacity: int, effort: int, allowed: int | None):
     """One pass of bin completion; None as soon as the waste so far rules out beating the incumbent."""
     free = np.zeros(capacity + 1, dtype=np.int64)
