@@ -19,21 +19,23 @@ LITERALS = 4
 #: An item is met by six windows (thirteen tokens) or half of its windows, whichever is less.
 ENOUGH = 6
 
-#: The patterns hold for Java's and RE2's syntax alike, so that SQL engines give the same tokens.
+#: Groups repeat possessively: Java's matcher takes such a loop step by step, where it would recurse for each round of
+#: a greedy one, and a line of many names or a long chain of numbers would overflow the stack. Nothing follows the
+#: loops, so both match the same.
 #: A name is a run of capitalised words (not all capitals) that doesn't begin a sentence or a line.
-NAME = r"([^\x20\x09-\x0D.!?:;][\x20\x09]+)(\p{Lu}\p{Ll}[\p{Ll}'’-]*(?:[\x20\x09]+\p{Lu}\p{Ll}[\p{Ll}'’-]*)*)"
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+NAME = r"([^\x20\x09-\x0D.!?:;][\x20\x09]+)(\p{Lu}\p{Ll}[\p{Ll}'’-]*(?:[\x20\x09]+\p{Lu}\p{Ll}[\p{Ll}'’-]*)*+)"
+NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 UNIT = r"(<num>)[\x20\x09]*(%|‰|°[CFK]?|€|\$|£|km/h|mph|km|cm|mm|kg|mg|ml|kw|kwh|mb|gb|tb|hz|min|hours?|days?|weeks?|months?|years?|miles?|metres?|meters?|grams?|litres?|liters?|dollars?|euros?|pounds?|percent|seconds?|minutes?|m|g|l|s|h)([^\p{L}\p{N}]|$)"
 OTHER = r"[^\p{L}\p{M}\p{N}<>]+"
 PLACEHOLDERS = ("<name>", "<num>", "<unit>")
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(F.translate(text, "<>", "  "), NAME, "$1<name>")
+    return F.regexp_replace(F.translate(text, "<>", "  "), NAME, "$1 <name> ")
 
 
 def _numbered(text: Column) -> Column:
-    return F.regexp_replace(_named(text), NUMBER, "<num>")
+    return F.regexp_replace(_named(text), NUMBER, " <num> ")
 
 
 def with_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
@@ -42,10 +44,10 @@ def with_tokens(df: DataFrame, text: str, tokens: str) -> DataFrame:
     Each step is a projection of its own that the next one uses more than once, so that the optimiser neither
     merges them nor repeats the replacements.
     """
-    marked = F.lower(F.regexp_replace(_numbered(F.col(text)), UNIT, "$1 <unit>$3"))
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(marked, "(<name>|<num>|<unit>)", " $1 "), OTHER, " "))
+    marked = F.lower(F.regexp_replace(_numbered(F.col(text)), UNIT, "$1 <unit> $3"))
+    spaced = F.trim(F.regexp_replace(marked, OTHER, " "))  # single spaces only
     out = df.withColumn(tokens, F.coalesce(spaced, F.lit("")))
-    return out.withColumn(tokens, F.when(F.length(tokens) > 0, F.split(tokens, " +")).otherwise(F.array().cast("array<string>")))
+    return out.withColumn(tokens, F.when(F.length(tokens) > 0, F.split(tokens, " ")).otherwise(F.array().cast("array<string>")))
 
 
 def slots(text: Column) -> Column:
@@ -66,7 +68,7 @@ def _hashes(tokens: Column, n: Column | int = WINDOW) -> Column:
 def _plain(text: Column) -> Column:
     """The words and numbers of a text, lower-cased and without placeholders."""
     spaced = F.trim(F.regexp_replace(F.lower(F.translate(text, "<>", "  ")), OTHER, " "))
-    return F.when(F.length(spaced) > 0, F.split(spaced, " +")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(spaced) > 0, F.split(spaced, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def _lengths(items: DataFrame, n: str) -> list[int]:

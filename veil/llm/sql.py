@@ -72,7 +72,7 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(kep
 
 
 def op7_benchmark_decontamination() -> str:
-    name, number, unit, other = (_quoted(x) for x in (decontamination.NAME, decontamination.NUMBER, decontamination.UNIT, decontamination.OTHER))
+    name, number, unit, other = (_quoted(x.replace(")*+", ")*")) for x in (decontamination.NAME, decontamination.NUMBER, decontamination.UNIT, decontamination.OTHER))
     w, marks = decontamination.WINDOW, ", ".join(_quoted(x) for x in decontamination.PLACEHOLDERS)
 
     def prepared(table: str, key: str) -> str:
