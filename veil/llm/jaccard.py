@@ -6,11 +6,13 @@
 2. The sets left are ordered by a fixed order (frequent hashes last) and indexed by their prefixes: two sets that
    link share a hash there. In each index list the set with the largest shared part is the list's hub; every other
    one is compared with it only. The links found give first components.
-3. What may still link are sets of different components. Index lists with one component are skipped whole. In the
-   others, entries with equal size, position range and hub answers form blocks, and pairs of blocks are skipped by
-   size, by position and by the answers already computed: for sets x, y with overlaps x', y' with the same hub H,
-   |x and y| <= min(x', y', |H| - missing) + min(shared(x) - x', shared(y) - y'), where missing is a lower bound of
-   how many of H's hashes x or y lacks, from bit masks of the lacking ones. What remains is compared exactly.
+3. What may still link are sets of different components. Each set's main hub is one that it is close to, the same for
+   a whole group of near copies, and its answers are derived from its differences from the hub. Two sets with the
+   same main hub H and overlaps x', y' with it hold at most min(x', y', |H| - missing) of its hashes both, where missing
+   is a lower bound, from bit masks, of how many x or y lacks. Where that suffices for a link, they meet by their blocks
+   (sizes and overlaps; whole pairs of blocks are skipped). Where it doesn't, they must share hashes that H lacks, and
+   meet in an index of those only. Sets with different main hubs meet in the index lists, where lists of one
+   component or one hub are skipped whole, and pairs by size and position. What remains is compared exactly.
 """
 
 from __future__ import annotations
@@ -299,12 +301,15 @@ def _sizes_fit(n, m):
     return F.least(n, m) * den >= F.greatest(n, m) * num
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (x, y) with n_x, n_y and their exact overlap."""
+def _overlaps(pairs: DataFrame, sets: DataFrame, hubs: bool = False) -> DataFrame:
+    """Pairs (x, y) with n_x, n_y and their exact overlap; if y are hubs, also how x differs from them."""
     x = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
     y = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
-    both = pairs.join(x, "x").join(y, "y")
-    return both.select("x", "y", "n_x", "n_y", F.size(F.array_intersect("t_x", "t_y")).alias("overlap"), *_masks(F.array_except("t_y", "t_x")))
+    both = pairs.join(x, "x").join(y, "y").withColumn("overlap", F.size(F.array_intersect("t_x", "t_y")))
+    if not hubs:
+        return both.select("x", "y", "n_x", "n_y", "overlap")
+    close = 2 * F.col("overlap") >= F.col("n_x")
+    return both.select("x", "y", "n_x", "n_y", "overlap", *_masks(F.array_except("t_y", "t_x")), F.when(close, F.array_except("t_x", "t_y")).alias("extra"))
 
 
 def _masks(missing):
@@ -322,18 +327,71 @@ def _linked(overlap, n, m):
     return overlap * den >= (n + m - overlap) * num
 
 
-def _may_link(first: str, last: str):
-    """Whether entries (or blocks of them) x and y of one index list may link, by size, position and hub answers.
+def _ends(rows: DataFrame, on: list[str], others: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, with doc_id as x and y and the other columns by these suffixes."""
+    x, y = (rows.select(*on, F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in others]) for s in "xy")
+    return x, y
 
-    first and last name the columns with the least and greatest position in the set's order.
-    """
-    n_x, n_y = F.col("n_x"), F.col("n_y")
-    need = _least_overlap(n_x, n_y)
-    by_place = F.least(f"{last}_x", f"{last}_y") + F.least(n_x - F.col(f"{first}_x"), n_y - F.col(f"{first}_y"))
+
+def _common_of_hub():
+    """At most so many of their common hub's hashes do x and y both hold."""
     missing = sum((F.bit_count(F.col(f"{m}_x").bitwiseOR(F.col(f"{m}_y"))) for m in ("m1", "m2")), F.lit(0))
+    return F.least("o_x", "o_y", F.col("n_main_x") - missing)
+
+
+def _fits():
+    """Whether x and y may link by their sizes and by what of each the corpus shares, and are not joined yet."""
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    return _sizes_fit(n_x, n_y) & (F.least("shared_x", "shared_y") >= _least_overlap(n_x, n_y)) & (F.col("comp_x") != F.col("comp_y"))
+
+
+def _by_lists(known: DataFrame, posts: DataFrame) -> DataFrame:
+    """Pairs with different main hubs that meet in an index list, and that sizes and positions don't rule out."""
+    entries = posts.select("token", "doc_id", "pos").join(known.select("doc_id", "n", "shared", "main", "comp"), "doc_id")
+    mixed_lists = entries.groupBy("token").agg(F.min("main").alias("lo"), F.max("main").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("lo <> hi and first <> last").select("token")
+    entries = materialise(entries.join(mixed_lists, "token", "left_semi"), "mixed-postings")
+    x, y = _ends(entries, ["token"], ["n", "shared", "main", "comp", "pos"])
+    n_x, n_y = F.col("n_x"), F.col("n_y")
+    by_place = F.least("pos_x", "pos_y") + F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y"))
+    return x.join(y, "token").filter((F.col("x") < F.col("y")) & (F.col("main_x") != F.col("main_y")) & _fits() & (by_place >= _least_overlap(n_x, n_y))).select("x", "y")
+
+
+def _by_extras(known: DataFrame) -> DataFrame:
+    """Pairs of one main hub that hold a hash in common that the hub lacks, and that the hub's answers don't rule out.
+
+    A set whose overlap with the hub falls short of what a link takes must share the rest: a prefix of its other
+    hashes, in the global order, holds the first that both have.
+    """
+    num, den = THRESHOLD
+    short = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den) - F.col("o"))
+    prefix = F.greatest(F.lit(0), F.size("extra") - short + 1)
+    columns = ["n", "shared", "comp", "o", "n_main", "m1", "m2"]
+    entries = known.select("main", "doc_id", *columns, F.explode(F.slice("extra", F.lit(1), prefix.cast("int"))).alias("token"))
+    mixed_lists = entries.groupBy("main", "token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("main", "token")
+    entries = materialise(entries.join(mixed_lists, ["main", "token"], "left_semi"), "extra-postings")
+    x, y = _ends(entries, ["main", "token"], columns)
     outside = F.greatest(F.lit(0), F.least(F.col("shared_x") - F.col("o_x"), F.col("shared_y") - F.col("o_y")))
-    by_hub = F.least("o_x", "o_y", F.col("n_main_x") - missing) + outside
-    return _sizes_fit(n_x, n_y) & (F.least("shared_x", "shared_y") >= need) & (by_place >= need) & ((F.col("main_x") != F.col("main_y")) | (by_hub >= need))
+    need = _least_overlap(F.col("n_x"), F.col("n_y"))
+    return x.join(y, ["main", "token"]).filter((F.col("x") < F.col("y")) & _fits() & (_common_of_hub() + outside >= need)).select("x", "y")
+
+
+def _by_hubs(known: DataFrame) -> DataFrame:
+    """Pairs of one main hub that may link by the hub's hashes alone.
+
+    Sets of equal size and overlap with the hub form a block, of which there are no more than the hub's size allows,
+    however large the group. Blocks that can't link, or are one component already, are skipped whole.
+    """
+    need = _least_overlap(F.col("n_x"), F.col("n_y"))
+    key = ["n", "o"]
+    blocks = known.groupBy("main", *key, "n_main").agg(F.bit_and("m1").alias("m1"), F.bit_and("m2").alias("m2"), F.max("shared").alias("shared"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    a, b = (blocks.select("main", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "main"]) for s in "xy")
+    several = ~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y")))
+    in_order = F.struct(*[f"{c}_x" for c in key]) <= F.struct(*[f"{c}_y" for c in key])
+    open_pairs = a.join(b, "main").filter(in_order & several & _sizes_fit(F.col("n_x"), F.col("n_y")) & (F.least("shared_x", "shared_y") >= need) & (_common_of_hub() >= need))
+    open_pairs = materialise(open_pairs.select("main", *[f"{c}_{s}" for s in "xy" for c in key]), "open-blocks")
+    x, y = _ends(known, ["main"], [*key, "n_main", "shared", "comp", "m1", "m2"])
+    pairs = open_pairs.join(x, ["main", *[f"{c}_x" for c in key]]).join(y.drop("n_main_y"), ["main", *[f"{c}_y" for c in key]])
+    return pairs.filter((F.col("x") != F.col("y")) & _fits() & (_common_of_hub() >= need)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -350,31 +408,26 @@ def links(sets: DataFrame) -> DataFrame:
     posts = materialise(index.join(lists.select("token", (-F.col("best.h")).alias("hub")), "token"), "postings")
     hubs = sets.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"))
     star = posts.filter("doc_id <> hub").select(F.col("doc_id"), "n", "hub").distinct().join(hubs, "hub").filter(_sizes_fit(F.col("n"), F.col("n_hub")))
-    answers = materialise(_overlaps(star.select(F.col("doc_id").alias("x"), F.col("hub").alias("y")), sets), "hub-answers")
+    answers = materialise(_overlaps(star.select(F.col("doc_id").alias("x"), F.col("hub").alias("y")), sets, hubs=True), "hub-answers")
     found = answers.filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
     first = materialise(connected_components(found, "x", "y"), "hub-components")
 
-    # Each set's closest hub, their overlap and the hub's hashes that it lacks; a set without a close one is its own.
-    close = answers.filter("2 * overlap >= n_x").groupBy("x").agg(F.max(F.struct("overlap", (-F.col("y")).alias("h"), "n_y", "m1", "m2")).alias("c"))
-    close = close.select(F.col("x").alias("doc_id"), (-F.col("c.h")).alias("main"), F.col("c.overlap").alias("o"), F.col("c.n_y").alias("n_main"), "c.m1", "c.m2")
-    known = posts.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(close, "doc_id", "left")
-    own = {"component": ("comp", F.col("doc_id")), "main": ("main", F.col("doc_id")), "o": ("o", F.col("n")), "n_main": ("n_main", F.col("n")), "m1": ("m1", F.lit(0)), "m2": ("m2", F.lit(0))}
-    known = known.select("token", "doc_id", "n", "shared", "pos", *[F.coalesce(F.col(c), default).alias(name) for c, (name, default) in own.items()])
-    mixed_lists = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    known = materialise(known.join(mixed_lists, "token", "left_semi"), "open-postings")
-
-    # Blocks of entries that can't link with any other block's, nor among themselves, are skipped whole.
-    key = ["main", "n", "shared", "o"]
-    blocks = known.groupBy("token", *key, "n_main").agg(F.min("pos").alias("p"), F.max("pos").alias("q"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_and("m1").alias("m1"), F.bit_and("m2").alias("m2"))
-    a, b = (blocks.select("token", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "token"]) for s in "xy")
-    in_order = F.struct(*[f"{c}_x" for c in key]) <= F.struct(*[f"{c}_y" for c in key])
-    several = ~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y")))
-    open_pairs = a.join(b, "token").filter(in_order & several & _may_link("p", "q"))
-    open_pairs = materialise(open_pairs.select("token", F.explode(F.array(*[F.struct(*[F.col(f"{c}_{s}").alias(c) for c in key]) for s in "xy"])).alias("b")).select("token", "b.*").distinct(), "open-blocks")
-    left = known.join(open_pairs, ["token", *key], "left_semi")
-    ends = [left.select("token", F.col("doc_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in [*key, "n_main", "pos", "comp", "m1", "m2"]]) for s in "xy"]
-    entries = ends[0].join(ends[1], "token").filter((F.col("x") < F.col("y")) & (F.col("comp_x") != F.col("comp_y")) & _may_link("pos", "pos"))
-    rest = entries.select("x", "y").distinct()
+    # A set's main hub is the one that most sets are close to, so that a group of near copies has one; a set without a
+    # close hub is its own.
+    near = answers.filter("extra is not null")
+    liked = near.groupBy("y").agg(F.count("*").alias("friends"))
+    main = near.select("x", "y", "overlap").join(liked, "y").groupBy("x").agg(F.max(F.struct("friends", "overlap", (-F.col("y")).alias("h"))).alias("c"))
+    close = near.join(main.select("x", (-F.col("c.h")).alias("y")), ["x", "y"])
+    close = close.select(F.col("x").alias("doc_id"), F.col("y").alias("main"), F.col("overlap").alias("o"), F.col("n_y").alias("n_main"), "m1", "m2", "extra")
+    listed = posts.select("doc_id", "n", "shared").distinct()
+    known = listed.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(close, "doc_id", "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    own = {"component": ("comp", F.col("doc_id")), "main": ("main", F.col("doc_id")), "o": ("o", F.col("n")), "n_main": ("n_main", F.col("n")), "m1": ("m1", zero), "m2": ("m2", zero), "extra": ("extra", none)}
+    known = materialise(known.select("doc_id", "n", "shared", *[F.coalesce(F.col(c), default).alias(name) for c, (name, default) in own.items()]), "answered-sets")
+
+    groups = known.groupBy("main").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("main")
+    grouped = materialise(known.join(groups, "main", "left_semi"), "open-groups")
+    rest = _by_lists(known, posts).union(_by_extras(grouped)).union(_by_hubs(grouped.drop("extra"))).distinct()
     done = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     rest = materialise(rest.join(done, ["x", "y"], "left_anti"), "open-pairs")
     more = _overlaps(rest, sets).filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
