@@ -9,8 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir() + "/veil-checkpoints").rstrip("/")
+    """The folder in spark.checkpoint.dir; a temporary one only in a session that is a single process.
+
+    Raises ValueError where the session names none and executors run elsewhere, since they couldn't read it.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.gettempdir() + "/veil-checkpoints"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
