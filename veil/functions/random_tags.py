@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Fixed values of the minimal standard generator.
 MULTIPLIER, MODULUS = 48271, 2147483647
@@ -17,12 +18,6 @@ def digits(tag: Column, ways: list[int]) -> list[Column]:
     """Mixed-radix digits of a tag, the first way's first: the bucket a row takes in each routing layer."""
     out, scale = [], 1
     for way in ways:
-        out.append((tag / scale).cast("long") % way if scale == 1 else _floor_div(tag, scale) % way)
+        out.append((tag if scale == 1 else F.call_function("div", tag, F.lit(scale))) % way)
         scale *= way
     return out
-
-
-def _floor_div(x: Column, by: int) -> Column:
-    from pyspark.sql import functions as F
-
-    return F.floor(x / by).cast("long")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.bits import bit_length
-from veil.plans.global_order import GlobalOrder
+from veil.plans.global_order import GlobalOrder, integer_divided
 
 LEFT, RIGHT, BALANCED = 0, 1, 2
 
@@ -22,13 +22,13 @@ def bulk_build(df: DataFrame, key: str) -> DataFrame:
     Every node finds its own range by walking the median splits from the root, an expression of log n steps, so the
     build is one ranked scan whatever the size. Indices are 0-based ranks; null where there is no child.
     """
-    ranked = GlobalOrder(df.select(key), [key]).ranked("_i", start=0)
-    n = ranked.agg(F.count("*").alias("_n"))
+    order = GlobalOrder(df.select(key), [key])
+    ranked = order.ranked("_i", start=0)
     zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("l"), (F.col("_n") - 1).alias("r"), zero.alias("d"))
+    start = F.struct(zero.alias("l"), F.lit(order.n - 1).cast("long").alias("r"), zero.alias("d"))
 
     def step(s: Column, _: Column) -> Column:
-        m = F.floor((s["l"] + s["r"]) / 2)
+        m = integer_divided(s["l"] + s["r"], 2)
         i = F.col("_i")
         return F.struct(
             F.when(i > m, m + 1).otherwise(s["l"]).alias("l"),
@@ -36,10 +36,10 @@ def bulk_build(df: DataFrame, key: str) -> DataFrame:
             F.when(i == m, s["d"]).otherwise(s["d"] + 1).alias("d"),
         )
 
-    node = ranked.crossJoin(F.broadcast(n)).withColumn("_s", F.aggregate(F.sequence(F.lit(1), bit_length(F.col("_n")) + 1), start, step))
+    node = ranked.withColumn("_s", F.aggregate(F.sequence(F.lit(1), F.lit(order.n.bit_length() + 1)), start, step))
     l, r, m = F.col("_s.l"), F.col("_s.r"), F.col("_i")
-    left = F.when(m > l, F.floor((l + m - 1) / 2))
-    right = F.when(r > m, F.floor((m + 1 + r) / 2))
+    left = F.when(m > l, integer_divided(l + m - 1, 2))
+    right = F.when(r > m, integer_divided(m + 1 + r, 2))
     balance = F.when(bit_length(r - m) > bit_length(m - l), RIGHT).otherwise(BALANCED)
     return node.select(key, F.col("_s.d").alias("depth"), left.alias("left_idx"), right.alias("right_idx"), balance.alias("balance"))
 
@@ -65,8 +65,8 @@ def registered(probes: DataFrame, probe: str, members: DataFrame, member: str) -
 
 def replay(log: DataFrame, key: str, seq: str, is_insert: Column, value: str) -> DataFrame:
     """Answers of the gets in an interleaved log: the last insert of the key before each get."""
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    seen = log.withColumn("_ins", is_insert).withColumn("_set", F.last(F.when(F.col("_ins"), F.struct(F.col(value).alias("x"))), ignorenulls=True).over(before))
+    marked = log.select(seq, key, is_insert.alias("_ins"), F.col(value).alias("_value"))
+    seen = GlobalOrder(marked, [key, seq]).last_before(F.when(F.col("_ins"), F.struct(F.col("_value").alias("x"))), key, "_set")
     return seen.filter(~F.col("_ins")).select(seq, key, F.col("_set.x").isNotNull().alias("contained"), F.col("_set.x").alias("v"))
 
 

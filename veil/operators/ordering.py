@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.random_tags import MODULUS, MULTIPLIER, minstd
-from veil.plans.global_order import GlobalOrder
+from veil.plans.checkpoints import written
+from veil.plans.global_order import GlobalOrder, integer_divided
 
 
 def osort(df: DataFrame, keys: Sequence[str | Column], rank: str = "rk") -> DataFrame:
@@ -18,7 +19,7 @@ def osort(df: DataFrame, keys: Sequence[str | Column], rank: str = "rk") -> Data
 
 def oshuffle(df: DataFrame, seed: int, pos: str = "pos") -> DataFrame:
     """All rows with their 1-based place in a random permutation drawn from the seed."""
-    tagged = df.withColumn("_tag", F.rand(seed)).withColumn("_tie", F.monotonically_increasing_id())
+    tagged = written(df.withColumn("_tag", F.rand(seed)).withColumn("_tie", F.monotonically_increasing_id()), "tagged")  # tags are drawn once
     return GlobalOrder(tagged, ["_tag", "_tie"]).ranked(pos).drop("_tag", "_tie")
 
 
@@ -36,18 +37,16 @@ def is_sorted(df: DataFrame, order: Sequence[str], value: str) -> DataFrame:
 def merge_runs(df: DataFrame, run: Column, keys: Sequence[str], run_pos: str = "run_pos", pos: str = "pos") -> DataFrame:
     """Sorted runs merged: each row's 0-based place in its run and in the merge."""
     runs = df.withColumn("run", run)
-    merged = GlobalOrder(runs, keys).ranked(pos, start=0)
     # The merge order restricted to a run is the run's own order.
-    return merged.withColumn(run_pos, (F.row_number().over(Window.partitionBy("run").orderBy(pos)) - 1).cast("long"))
+    return GlobalOrder(runs, keys).add_rank(pos, start=0).add_rank_within("run", run_pos, start=0).frame()
 
 
 def page_permuted_scan(df: DataFrame, key: str, page: int, pos: str = "pos") -> DataFrame:
     """Whole pages in a permuted order, rows in order within a page, the last page pinned to the end."""
-    indexed = GlobalOrder(df, [key]).ranked("idx", start=0)
-    size = indexed.agg(F.max("idx").alias("_last"))  # one row
-    paged = indexed.crossJoin(F.broadcast(size)).withColumn("_page", F.floor(F.col("idx") / page)).withColumn("_pinned", (F.col("_page") == F.floor(F.col("_last") / page)).cast("int"))
-    order = [F.col("_pinned"), ((F.col("_page") + 1) * MULTIPLIER) % MODULUS, F.col("idx")]
-    return GlobalOrder(paged, order).ranked(pos, start=0).drop("_page", "_pinned", "_last")
+    order = GlobalOrder(df, [key])
+    paged = order.ranked("idx", start=0).withColumn("_page", integer_divided(F.col("idx"), page)).withColumn("_pinned", (F.col("_page") == max(order.n - 1, 0) // page).cast("int"))
+    keys = [F.col("_pinned"), ((F.col("_page") + 1) * MULTIPLIER) % MODULUS, F.col("idx")]
+    return GlobalOrder(paged, keys).ranked(pos, start=0).drop("_page", "_pinned")
 
 
 def sort_array_by_network(values: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veil.functions.random_tags import digits
-from veil.plans.global_order import GlobalOrder
+from veil.plans.global_order import GlobalOrder, integer_divided
 
 
 def compact(df: DataFrame, mark: Column, key: str, pos: str = "pos", marked_pos: str = "marked_pos") -> DataFrame:
@@ -26,16 +26,11 @@ def reals(df: DataFrame, is_dummy: str) -> DataFrame:
     return df.filter(~F.col(is_dummy))
 
 
-def interleave(df: DataFrame, mark: Column, ways: int, keys: Sequence[str], salts: int = 0, pos: str = "pos") -> DataFrame:
-    """k-way interleave: places read marks 0, 1, .., k-1, 0, 1, ..; rows of a mark keep the order of keys.
-
-    The rank within a mark comes from the global order of (mark, keys), so one frequent mark doesn't meet in one task.
-    """
+def interleave(df: DataFrame, mark: Column, ways: int, keys: Sequence[str], pos: str = "pos") -> DataFrame:
+    """k-way interleave: places read marks 0, 1, .., k-1, 0, 1, ..; rows of a mark keep the order of keys."""
     marked = df.withColumn("_mark", mark.cast("long"))
-    ranked = GlobalOrder(marked, ["_mark", *keys]).ranked("_rank", start=0)
-    firsts = ranked.groupBy("_mark").agg(F.min("_rank").alias("_first"))  # a row for each mark
-    out = ranked.join(F.broadcast(firsts), "_mark")
-    return out.withColumn(pos, (F.col("_rank") - F.col("_first")) * ways + F.col("_mark")).drop("_mark", "_rank", "_first")
+    ranked = GlobalOrder(marked, keys).add_rank_within("_mark", "_rank", start=0).frame()
+    return ranked.withColumn(pos, F.col("_rank") * ways + F.col("_mark")).drop("_mark", "_rank")
 
 
 def merge_split(df: DataFrame, key: str, mark: Column, ways: int, size: int) -> DataFrame:
@@ -44,10 +39,8 @@ def merge_split(df: DataFrame, key: str, mark: Column, ways: int, size: int) ->
     Raises an arithmetic error when a bucket has more rows than slots.
     """
     spark = df.sparkSession
-    slots = spark.range(ways * size).select((F.col("id") / size).cast("long").alias("half"), (F.col("id") % size).alias("slot"))
-    ranked = GlobalOrder(df.select(F.col(key), mark.cast("long").alias("half")), ["half", key]).ranked("_rank", start=0)
-    firsts = ranked.groupBy("half").agg(F.min("_rank").alias("_first"))  # a row for each bucket
-    placed = ranked.join(F.broadcast(firsts), "half").select("half", (F.col("_rank") - F.col("_first")).alias("slot"), key)
+    slots = spark.range(ways * size).select(integer_divided(F.col("id"), size).alias("half"), (F.col("id") % size).alias("slot"))
+    placed = GlobalOrder(df.select(F.col(key), mark.cast("long").alias("half")), [key]).add_rank_within("half", "slot", start=0).frame()
     fits = F.when(F.col("slot") < size, F.col("slot")).otherwise(F.raise_error(F.lit("bucket overflow")).cast("long"))
     return slots.join(placed.withColumn("slot", fits), ["half", "slot"], "left")
 
@@ -83,8 +76,7 @@ def padded_buckets(df: DataFrame, bucket: str, key: str, size: int) -> DataFrame
 
     Output: bucket, slot, key, overflow.
     """
-    place = F.row_number().over(Window.partitionBy(bucket).orderBy(key)) - 1
-    real = df.select(bucket, key).withColumn("slot", place.cast("long")).withColumn("overflow", F.col("slot") >= size)
+    real = GlobalOrder(df.select(bucket, key), [key]).add_rank_within(bucket, "slot", start=0).frame().withColumn("overflow", F.col("slot") >= size)
     fill = df.groupBy(bucket).count().filter(F.col("count") < size).select(bucket, F.explode(F.sequence(F.col("count"), F.lit(size - 1).cast("long"))).alias("slot"))
     fill = fill.withColumn(key, F.lit(None).cast(df.schema[key].dataType)).withColumn("overflow", F.lit(False))
     return real.unionByName(fill).select(bucket, "slot", key, "overflow")
@@ -93,7 +85,7 @@ def padded_buckets(df: DataFrame, bucket: str, key: str, size: int) -> DataFrame
 def transpose(df: DataFrame, idx: Column, rows: Column | int, columns: int, pos: str = "pos") -> DataFrame:
     """The place of each element of a rows x columns matrix, stored by rows, after transposition."""
     rows = F.lit(rows) if isinstance(rows, int) else rows
-    return df.withColumn(pos, ((idx % columns) * rows + F.floor(idx / columns)).cast("long"))
+    return df.withColumn(pos, ((idx % columns) * rows + integer_divided(idx, columns)).cast("long"))
 
 
 def rotate_left(df: DataFrame, idx: Column, shift: int, size: int, enabled: bool = True, pos: str = "pos") -> DataFrame:

@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.plans.checkpoints import written
 from veil.plans.global_order import GlobalOrder
 
 
 def quantile_pick(df: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
     """Rows (k, *keys): the element at place floor(n * k / parts) of the sorted input, k = 1 .. parts - 1."""
-    ranked = GlobalOrder(df.select(*keys), keys).ranked("_i", start=0)
-    n = ranked.agg(F.count("*").alias("_n"))
-    wanted = n.select(F.explode(F.sequence(F.lit(1), F.lit(parts - 1))).alias("k"), "_n").withColumn("_i", F.floor(F.col("_n") * F.col("k") / parts))
+    order = GlobalOrder(df.select(*keys), keys)
+    ranked = order.ranked("_i", start=0)
+    wanted = df.sparkSession.createDataFrame([(k, order.n * k // parts) for k in range(1, parts)], "k int, _i long")
     return ranked.join(F.broadcast(wanted), "_i").select("k", *keys)  # parts - 1 rows are broadcast
 
 
@@ -24,5 +25,6 @@ def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
 
 
 def exact_size(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly n rows (or all, if fewer), each set of n equally likely."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    """Exactly n rows (or all, if fewer), each set of n equally likely: those of the n least random tags."""
+    tagged = written(df.withColumn("_tag", F.rand(seed)).withColumn("_tie", F.monotonically_increasing_id()), "tagged")  # tags are drawn once
+    return GlobalOrder(tagged, ["_tag", "_tie"]).ranked("_rank").filter(F.col("_rank") <= n).drop("_tag", "_tie", "_rank")

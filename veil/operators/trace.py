@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veil.functions.bits import bit_length, heap_index
 from veil.plans.checkpoints import written
-from veil.plans.global_order import GlobalOrder
+from veil.plans.global_order import GlobalOrder, integer_divided
 
 
 def path_indices(df: DataFrame, key: str, position: Column, levels: int) -> DataFrame:
@@ -25,15 +25,15 @@ def evict_path(df: DataFrame, key: str, position: Column, path: int, levels: int
     tagged = df.select(key, bit_length(position.bitwiseXOR(F.lit(path).cast("long"))).alias("_tag"))
     ranked = GlobalOrder(tagged, ["_tag", key]).add_rank("_rn", start=0)
     slotted = ranked.running_max(bucket * F.col("_tag") - F.col("_rn"), "_mx")
-    level = F.floor((F.col("_rn") + F.col("_mx")) / bucket)
+    level = integer_divided(F.col("_rn") + F.col("_mx"), bucket)
     return slotted.select(key, F.when(level <= levels, levels - level).otherwise(-1).alias("level"))
 
 
 def cache_direct_mapped(df: DataFrame, time: str, page: Column, slots: int) -> DataFrame:
     """(accesses, hits) of a direct-mapped cache that starts empty."""
-    trace = df.select(F.col(time), page.alias("_pg"))
-    last = F.lag("_pg").over(Window.partitionBy(F.col("_pg") % slots).orderBy(time))
-    return trace.withColumn("_prev", last).agg(F.count("*").alias("accesses"), F.coalesce(F.sum((F.col("_pg") == F.col("_prev")).cast("long")), F.lit(0)).alias("hits"))
+    trace = df.select(F.col(time).alias("_t"), page.alias("_pg"))
+    # In the order of slots, the access before is the slot's own or another slot's, whose page differs.
+    return GlobalOrder(trace, [F.col("_pg") % slots, F.col("_t")]).previous("_pg", "_prev").agg(F.count("*").alias("accesses"), F.coalesce(F.sum((F.col("_pg") == F.col("_prev")).cast("long")), F.lit(0)).alias("hits"))
 
 
 def cache_lru(df: DataFrame, time: str, page: Column, slots: int, chunk: int = 8192) -> DataFrame:
