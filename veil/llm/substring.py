@@ -1,8 +1,8 @@
 """Repeated passages: every word in a 13-word window that also starts in a document with a smaller id goes.
 
 Consecutive windows that share a minimiser (the least hash among their word triples) travel together as one
-packed string of word codes to the minimiser's bucket. There the windows are cut out of the strings again and
-sorted; of equal windows the least document id is the one that keeps its words. Before anything travels, equal
+packed string of words to the minimiser's bucket. There the windows are cut out of the strings again, sorted by a
+hash and compared word for word; of equal windows the least document id is the one that keeps its words. Before anything travels, equal
 strings of one batch collapse into the one with the least id, so a passage that most documents share arrives
 once per batch, not once per document.
 """
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, release, slices, texts_of, tidied, tidy
-from .words import ROLL, ROLL_INVERSE, gram_hashes, mixed, powers, ranges, word_hashes
+from .common import materialise, partitions, slices, texts_of, tidied, tidy
+from .words import ROLL, ROLL_INVERSE, distinct_words, gram_hashes, mixed, powers, ranges, span_hashes, spans, word_spans
 
 WINDOW = 13
 MINIMISER = 3
 #: Words that a map task gathers before it sends packed strings, and text that it hashes at once.
-BATCH_WORDS = 1_000_000
+BATCH_WORDS = 600_000
 HASH_BYTES = 1 << 20
 #: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
 BUCKETS = 4
@@ -63,18 +63,27 @@ def _content(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return mixed((sums[start + length] - sums[start]) * powers(ROLL_INVERSE, len(words) + 1)[start] + length.astype(np.uint64))
 
 
-def _packed(doc: np.ndarray, start: np.ndarray, count: np.ndarray, codes: np.ndarray) -> bytes:
-    raw = struct.pack("<q", len(doc)) + np.diff(doc, prepend=0).tobytes() + start.astype("<u4").tobytes() + count.astype("<u4").tobytes() + codes.astype("<u4").tobytes()
+def _packed(doc: np.ndarray, start: np.ndarray, count: np.ndarray, strings: list[bytes]) -> bytes:
+    raw = struct.pack("<q", len(doc)) + np.diff(doc, prepend=0).tobytes() + start.astype("<u4").tobytes() + count.astype("<u4").tobytes() + b"\n".join(strings)
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Document, first word and windows of each run; the words of all runs by number, and the distinct ones."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<q", raw)
     doc = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
     start = np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64)
     count = np.frombuffer(raw, "<u4", n, 8 + 12 * n).astype(np.int64)
-    return doc, start, count, np.frombuffer(raw, "<u4", -1, 8 + 16 * n)
+    data = np.frombuffer(raw, np.uint8, -1, 8 + 16 * n)
+    return doc, start, count, *distinct_words(data, *spans(data))
+
+
+def _equal(codes: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether codes[a : a + length] are codes[b : b + length], for each."""
+    differ = np.append(0, np.cumsum(codes[ranges(a, length)] != codes[ranges(b, length)]))
+    ends = np.cumsum(length)
+    return differ[ends] == differ[ends - length]
 
 
 def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -88,53 +97,57 @@ def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBat
 
 def _send(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[np.ndarray] = []
-        words: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
         for batch in slices(batches, "text", HASH_BYTES):
-            hashes, bounds = word_hashes(batch.column("text"))
-            ids.append(batch.column("doc_id").to_numpy())
-            words.append((hashes >> np.uint64(32)).astype(np.uint32))
-            sizes.append(np.diff(bounds))
-            held += len(hashes)
+            data, start, end, bounds = word_spans(batch.column("text"))
+            parts.append((batch.column("doc_id").to_numpy(), np.diff(bounds), data, start, end, span_hashes(data, start, end)))
+            held += len(start)
             if held >= BATCH_WORDS:
-                yield from sent(ids, words, sizes)
-                ids, words, sizes, held = [], [], [], 0
+                yield from sent(parts)
+                parts, held = [], 0
                 tidy()
         if held:
-            yield from sent(ids, words, sizes)
+            yield from sent(parts)
 
-    def sent(ids: list, words: list, sizes: list) -> Iterator[pa.RecordBatch]:
-        doc, codes, size = np.concatenate(ids), np.concatenate(words), np.concatenate(sizes)
+    def sent(parts: list) -> Iterator[pa.RecordBatch]:
+        at = np.cumsum([0] + [len(p[2]) for p in parts])
+        doc, size, data, begin, end, hashes = (np.concatenate(x) for x in zip(*[(p[0], p[1], p[2], p[3] + a, p[4] + a, p[5]) for p, a in zip(parts, at, strict=False)], strict=True))
+        parts.clear()
+        codes, _ = distinct_words(data, begin, end)
         order = np.argsort(doc, kind="stable")  # so that of equal strings the first has the least id
         if (order[1:] < order[:-1]).any():
             before = np.cumsum(size) - size
-            codes = codes[ranges(before[order], size[order])]
+            take = ranges(before[order], size[order])
+            begin, end, hashes, codes = begin[take], end[take], hashes[take], codes[take]
             doc, size = doc[order], size[order]
         bounds = np.append(0, np.cumsum(size))
-        start, count, least = _runs(codes.astype(np.uint64), bounds, window)
+        start, count, least = _runs(hashes, bounds, window)
         if not len(start):
             return
         owner = np.searchsorted(bounds, start, side="right") - 1
         own_doc, own_start = doc[owner], start - bounds[owner]
-        content = _content(codes, start, count + window - 1)
+        length = count + window - 1
+        content = _content(hashes, start, length)
         order = np.argsort(content, kind="stable")
-        group = np.cumsum(np.append(False, content[order][1:] != content[order][:-1]))
-        first = own_doc[order][np.flatnonzero(np.append(True, np.diff(group) > 0))][group]
-        known = np.zeros(len(start), dtype=bool)
-        known[order] = own_doc[order] > first
-        if known.any():  # the whole string starts in an earlier document of this batch too
-            rows = _by_doc(own_doc[known], own_start[known], own_start[known] + count[known] + window - 1)
+        head = np.append(True, content[order][1:] != content[order][:-1])
+        first = np.empty(len(start), dtype=np.int64)
+        first[order] = order[np.flatnonzero(head)][np.cumsum(head) - 1]
+        known = np.flatnonzero((own_doc > own_doc[first]) & (length == length[first]))
+        if len(known):  # the whole string starts in an earlier document of this batch too, word for word
+            known = known[_equal(codes, start[known], start[first[known]], length[known])]
+            rows = _by_doc(own_doc[known], own_start[known], own_start[known] + length[known])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.num_rows) % buckets, pa.int32()), rows.column("doc_id"), rows.column("ranges")], names=["bucket", "doc_id", "blob"])
-        keep = np.flatnonzero(~known)
+        keep = np.setdiff1d(np.arange(len(start)), known)
         bucket = (mixed(least[keep]) % np.uint64(buckets)).astype(np.int64)
         keep = keep[np.argsort(bucket, kind="stable")]
         bucket = np.sort(bucket)
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        raw = data.tobytes()
         blobs = []
         for part in np.split(keep, cut[1:]):
-            blobs.append(_packed(own_doc[part], own_start[part], count[part], codes[ranges(start[part], count[part] + window - 1)]))
+            strings = [raw[a:b] for a, b in zip(begin[start[part]].tolist(), end[start[part] + length[part] - 1].tolist(), strict=True)]
+            blobs.append(_packed(own_doc[part], own_start[part], count[part], strings))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "blob"])
 
     return run
@@ -154,20 +167,23 @@ def _count(window: int):
             yield from counted([_unpacked(blob) for blob in held.popitem()[1]])
 
     def counted(parts: list) -> Iterator[pa.RecordBatch]:
-        doc, start, count, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc, start, count = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        merged = pa.concat_arrays([p[4] for p in parts]).dictionary_encode().indices.to_numpy()
+        firsts = np.cumsum([0] + [len(p[4]) for p in parts])
+        codes = np.concatenate([merged[p[3] + f] for p, f in zip(parts, firsts, strict=False)])  # equal for equal words of this bucket, and for no others
         parts.clear()
         length = count + window - 1
         at = ranges(np.cumsum(length) - length, count)  # where each window starts among the codes
         run_of = np.repeat(np.arange(len(doc)), count)
         own = doc[run_of]
-        key = _content(codes, at, np.full(len(at), window, dtype=np.int64))
+        key = _content(codes.astype(np.uint64), at, np.full(len(at), window, dtype=np.int64))
         order = np.lexsort((own, key))
         new = np.append(True, key[order][1:] != key[order][:-1])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = own[order] > own[order][head]
         check = np.flatnonzero(later)
         same = np.ones(len(check), dtype=bool)
-        for k in range(window):  # the keys only sort; equality is decided by the codes
+        for k in range(window):  # the keys only sort; equality is decided by the words
             same &= codes[at[order[check]] + k] == codes[at[order[head[check]]] + k]
         if not same.all():
             groups: dict[bytes, int] = {}
@@ -206,16 +222,14 @@ def removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     Words are runs of other than ASCII white space, compared unchanged; kept words are joined by one space. Null
     and empty texts have no words; a document with fewer words than a window keeps all. An id names one text:
     rows that repeat it are compared with other ids only and get equal results. Rows without an id keep all their
-    words. Whole texts count, whatever their length; an empty table gives an empty result. Word codes have 32
-    bits, so windows are equal if all their codes are.
+    words. Whole texts count, whatever their length; an empty table gives an empty result. Hashes only route and
+    sort windows; what is removed is decided by the words themselves.
     """
-    spark = df.sparkSession
     added = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     others = [c for c in df.columns if c not in (doc_id, text, *added)]
     plain = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = materialise(repeated_ranges(plain, window), "ranges")
-    release(spark)  # the packed strings aren't needed any more
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges")).hint("shuffle_hash")
+    by_doc = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges"))
     rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     joined = rows.join(by_doc, rows["_id"].cast("long") == by_doc["doc_id"], "left").drop("doc_id")
     schema = T.StructType([df.schema[doc_id], *(df.schema[c] for c in others), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text)

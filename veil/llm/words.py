@@ -47,10 +47,10 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, counts) + np.arange(total, dtype=np.int64)
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` of all strings in order, and where each string's words begin.
+def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings' bytes, where the words `[^\\x20\\x09-\\x0D]+` begin and end in them, and each string's first word.
 
-    The second array has one entry more than there are strings. Null counts as empty. lower: A-Z as a-z.
+    The last array has one entry more than there are strings. Null counts as empty.
     """
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
@@ -58,25 +58,55 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     raw = column.buffers()[2]
     data = np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
+    start, end = spans(data, offsets)
+    return data, start, end, np.searchsorted(start, offsets)
+
+
+def spans(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end; no word goes over an offset."""
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    if lower:
-        data = _LOWER[data]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     inside = ~_SEPARATOR[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
+    if offsets is not None:
+        edge[offsets] = True
     begins = inside.copy()
     begins[1:] &= ~inside[:-1] | edge[1:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each data[start:end]."""
+    if not len(start):
+        return np.empty(0, np.uint64)
     terms = BYTES[data]
     terms *= powers(BASE, len(data))
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(terms, out=sums[1:])
-    hashes = mixed((sums[end] - sums[start]) * powers(INVERSE, len(data))[start] + (end - start).astype(np.uint64))
-    return hashes, np.searchsorted(start, offsets)
+    return mixed((sums[end] - sums[start]) * powers(INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all strings in order, and each string's first word. lower: A-Z as a-z."""
+    data, start, end, bounds = word_spans(column)
+    return span_hashes(_LOWER[data] if lower else data, start, end), bounds
+
+
+def distinct_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each data[start:end], equal exactly for equal bytes, and the bytes that the numbers stand for.
+
+    start and end are in order, and what they bound doesn't overlap.
+    """
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[start] += 1
+    inside[end] -= 1
+    dense = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.append(0, np.cumsum(end - start)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(dense)]).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
