@@ -38,6 +38,31 @@ def heap_index(position: Column, depth: Column, levels: int) -> Column:
     return F.call_function("shiftleft", one, depth.cast("int")) - 1 + F.call_function("shiftright", position, (levels - depth).cast("int"))
 
 
+def place_of(index: Column, levels: int) -> tuple[Column, Column]:
+    """Depth of a heap index, and the least leaf position below the node."""
+    depth = bit_length(index + 1) - 1
+    return depth, F.call_function("shiftleft", index - F.call_function("shiftleft", F.lit(1).cast("long"), depth) + 1, levels - depth)
+
+
+def pack_index(position: Column, depth: Column, levels: int, per_pack: int) -> tuple[Column, Column]:
+    """Where packs of `per_pack` levels hold the node at a depth on a path: the pack's number, and the place in it.
+
+    Packs are complete subtrees, numbered in level order from the root's; places too, from the pack's root.
+    """
+    within = depth % per_pack
+    root = depth - within
+    one = F.lit(1).cast("long")
+    above = F.call_function("div", F.call_function("shiftleft", one, root.cast("int")) - 1, F.lit(2**per_pack - 1).cast("long"))
+    pack = above + F.call_function("shiftright", position, (levels - root).cast("int"))
+    below = F.call_function("shiftright", position, (levels - depth).cast("int")).bitwiseAND(F.call_function("shiftleft", one, within.cast("int")) - 1)
+    return pack, F.call_function("shiftleft", one, within.cast("int")) - 1 + below
+
+
+def paths_meet(first: Column, second: Column, depth: Column, levels: int) -> Column:
+    """Whether the paths to two leaf positions go through one node at a depth; false for a null position (a dummy)."""
+    return F.coalesce(heap_index(first, depth, levels) == heap_index(second, depth, levels), F.lit(False))
+
+
 def shallowness(position: Column, path: Column) -> Column:
     """Levels above the leaf where two paths first meet: the bit length of their difference."""
     return bit_length(position.bitwiseXOR(path))
@@ -57,8 +82,9 @@ def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1).cast("long"), lambda acc, x: acc * x)
 
 
-def divide_round_up(a: int, b: int) -> int:
-    return -(-a // b)
+def divide_round_up(a: Column, b: int) -> Column:
+    """The quotient of non-negative integers, rounded up."""
+    return F.call_function("div", a + (b - 1), F.lit(b))
 
 
 def tree_levels(capacity: int) -> int:

@@ -49,6 +49,31 @@ def upsert_many(log: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(value, seq).alias("v"), F.count("*").alias("writes"))
 
 
+def apply_log(log: DataFrame, key: str, value: str, seq: str, is_delete: Column) -> DataFrame:
+    """The map after a log of inserts and deletes: key, v. A key whose last operation deletes it is absent.
+
+    A delete of an absent key does nothing; an insert after a delete brings the key back.
+    """
+    last = log.select(key, F.col(value).alias("_v"), F.col(seq).alias("_s"), is_delete.alias("_gone")).groupBy(key).agg(F.max_by(F.struct("_gone", "_v"), "_s").alias("_last"))
+    return last.filter(~F.col("_last._gone")).select(key, F.col("_last._v").alias("v"))
+
+
+def delete_many(entries: DataFrame, key: str, deleted: DataFrame, deleted_key: str) -> DataFrame:
+    """The entries without those whose key is deleted."""
+    return entries.join(deleted.select(F.col(deleted_key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
+
+
+def differences(answers: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Keys for which a map's answers aren't those of a shadow copy, or which only one of them has: key, answer, shadow.
+
+    Both have the columns (key, v); an empty result means that they agree.
+    """
+    a = answers.select(F.col(key), F.struct("v").alias("_a"))
+    b = expected.select(F.col(key), F.struct("v").alias("_b"))
+    both = a.join(b, key, "full")
+    return both.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(key, F.col("_a.v").alias("answer"), F.col("_b.v").alias("shadow"))
+
+
 def get_many(probes: DataFrame, probe: str, entries: DataFrame, key: str, value: str) -> DataFrame:
     """A batch of lookups as one join: k, contained, v."""
     table = entries.select(F.col(key).alias("_key"), F.col(value).alias("v"))

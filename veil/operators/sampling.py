@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.functions.random_tags import MODULUS, minstd
 from veil.plans.checkpoints import written
 from veil.plans.global_order import GlobalOrder
 
@@ -24,6 +25,16 @@ def bernoulli(df: DataFrame, fraction: float, seed: int) -> DataFrame:
     return df.sample(False, fraction, seed)
 
 
+def bernoulli_by_key(df: DataFrame, key: str, fraction: float) -> DataFrame:
+    """Each row with the given probability, drawn from its key: the same rows on every run and in every engine."""
+    return df.filter(minstd(F.col(key)) < int(fraction * MODULUS))
+
+
+def exact_size_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Exactly n rows (or all, if fewer), those of the n least tags drawn from the unique key."""
+    return GlobalOrder(df, [minstd(F.col(key)), F.col(key)]).ranked("_rank").filter(F.col("_rank") <= n).drop("_rank")
+
+
 def exact_size(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly n rows (or all, if fewer), each set of n equally likely: those of the n least random tags."""
     tagged = written(df.withColumn("_tag", F.rand(seed)).withColumn("_tie", F.monotonically_increasing_id()), "tagged")  # tags are drawn once

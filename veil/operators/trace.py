@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.functions.bits import bit_length, heap_index
+from veil.functions.bits import bit_length, heap_index, reverse_lexicographic
+from veil.functions.random_tags import minstd
 from veil.plans.checkpoints import written
 from veil.plans.global_order import GlobalOrder, integer_divided
 
@@ -29,6 +30,44 @@ def evict_path(df: DataFrame, key: str, position: Column, path: int, levels: int
     return slotted.select(key, F.when(level <= levels, levels - level).otherwise(-1).alias("level"))
 
 
+def path_accesses(df: DataFrame, time: str, address: Column, levels: int) -> DataFrame:
+    """(time, address, position, remapped): the path that each access of a block reads, and the one it goes to.
+
+    A block is on the path that its access before gave it, at first on one drawn from its address; the new one is drawn
+    from the time.
+    """
+    leaves = 2**levels
+    log = df.select(F.col(time).cast("long").alias("_t"), address.cast("long").alias("address"))
+    seen = GlobalOrder(log, ["address", "_t"]).last_before(minstd(F.col("_t")) % leaves, "address", "_last")
+    return seen.select(F.col("_t").alias(time), "address", F.coalesce("_last", minstd(F.col("address")) % leaves).alias("position"), (minstd(F.col("_t")) % leaves).alias("remapped"))
+
+
+def path_cache(df: DataFrame, time: str, position: Column, levels: int, slots: int) -> DataFrame:
+    """One row (hits): the buckets of every access's path, root first, read through one LRU bucket cache."""
+    paths = path_indices(df, time, position, levels)
+    return cache_lru(paths.withColumn("_access", F.col(time) * (levels + 1) + F.col("depth")), "_access", F.col("idx"), slots)
+
+
+def ring_schedule(df: DataFrame, time: str, position: Column, levels: int, every: int, spare: int) -> DataFrame:
+    """(time, depth, idx, whole) for the buckets that ring accesses touch: whole, if the access reads all of a bucket.
+
+    time numbers the accesses from 0. A bucket gives one block an access and is read whole when it has given `spare` of
+    them, which renews it. After every `every` accesses the next path in reverse-lexicographic order is evicted, which
+    renews its buckets above the leaves. So of a bucket's accesses since it was last evicted, each (spare + 1)-th reads
+    it whole; ranks within the bucket give their number, though the root is touched by all.
+    """
+    access = df.select(F.col(time).cast("long").alias("_t"), position.cast("long").alias("_p"))
+    touched = access.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("evicted", F.lit(False))
+    turns = access.filter((F.col("_t") + 1) % every == 0)
+    leaf = reverse_lexicographic((integer_divided(F.col("_t") + 1, every) - 1) % 2**levels, levels)
+    evicted = turns.withColumn("_p", leaf).withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn("evicted", F.lit(True))
+    events = touched.unionByName(evicted).select("_t", "depth", "evicted", heap_index(F.col("_p"), F.col("depth"), levels).alias("idx"))
+    order = GlobalOrder(events, ["idx", "_t", "evicted"]).add_rank_within("idx", "_rank")
+    since = order.last_before(F.when(F.col("evicted"), F.col("_rank")), "idx", "_last")
+    number = F.col("_rank") - F.coalesce("_last", F.lit(0))
+    return since.filter(~F.col("evicted")).select(F.col("_t").alias(time), F.col("depth").cast("long").alias("depth"), "idx", (number % (spare + 1) == 0).alias("whole"))
+
+
 def cache_direct_mapped(df: DataFrame, time: str, page: Column, slots: int) -> DataFrame:
     """(accesses, hits) of a direct-mapped cache that starts empty."""
     trace = df.select(F.col(time).alias("_t"), page.alias("_pg"))

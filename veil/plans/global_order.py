@@ -128,7 +128,7 @@ class GlobalOrder:
         A range takes over the last such value of the ranges before it, if that has the key.
         """
         held = F.when(value.isNotNull(), F.struct(F.col(key).alias("k"), value.alias("x")))
-        ends = self.scan.groupBy("_part").agg(F.max_by(held, F.when(value.isNotNull(), F.struct(*self.keys))).alias("_end"))
+        ends = self.rows.groupBy("_part").agg(F.max_by(held, F.when(value.isNotNull(), F.struct(*self.keys))).alias("_end"))
         earlier = F.last("_end", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
         out = self.rows.withColumn("_own", F.last(held, ignorenulls=True).over(self._local(key).rowsBetween(Window.unboundedPreceding, -1)))
         out = out.join(F.broadcast(ends.select("_part", earlier.alias("_carried"))), "_part")

@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veil.functions import bits
 from veil.functions.bits import reverse_lexicographic, unsigned_key
-from veil.functions.crypto import seal, unseal
+from veil.functions.crypto import ctr, nonce, seal, seal_columns, seal_random, sealed_equal, unseal, unseal_columns
 from veil.functions.random_tags import minstd
 from veil.operators import dp, oarray, omap, ordering, partition, sampling, trace
+from veil.plans import planner
 from veil.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,9 +151,123 @@ def q28_padded_buckets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q29_prefix_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Counters of the trackers: calls, total, mean and maximum per event type."""
+    """Counters of the trackers per event type: calls, total, mean, xor and maximum."""
     e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum(F.col("event_id")).alias("total"), F.max("value").alias("top"))
+    mean = F.sum("event_id").cast("double") / F.count("*")
+    return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("event_id").alias("total"), mean.alias("mean"), F.bit_xor("event_id").alias("xor"), F.max("value").alias("top"))
+
+
+def q30_tail_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """The planner's tail probabilities, in millionths, for a grid of cases made on the driver."""
+    cases = [("binom", n, k, p, 0) for n in (10, 60, 200) for p in (0.1, 0.35, 0.5) for k in range(0, n + 1, max(1, n // 6))]
+    cases += [("hyper", n, k, 0.0, m) for n in (30, 120) for m in (5, n // 2) for k in range(0, min(m, n // 3) + 1, 2)]
+    rows = []
+    for kind, n, k, p, m in cases:
+        if kind == "binom":
+            point, above = planner.binom_pmf(k, n, p), planner.binom_sf(k, n, p)
+        else:
+            point, above = planner.hypergeom_pmf(k, n, m, n // 3), planner.hypergeom_sf(k, n, m, n // 3)
+        rows.append((kind, n, k, p, m, 2.0**point, 2.0**above))
+    made = spark.createDataFrame(rows, "kind string, n long, k long, p double, m long, point double, above double")
+    return made.select("kind", "n", "k", "p", "m", *[F.floor(F.col(c) * 1e6 + 0.123).cast("long").alias(c) for c in ("point", "above")])
+
+
+def q31_apply_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The map after inserts and deletes: every third event deletes its user's entry."""
+    return omap.apply_log(table(spark, sf, "events"), "user_id", "value", "event_id", F.col("event_id") % 3 == 0)
+
+
+def q32_delete_many(spark: SparkSession, sf: str) -> DataFrame:
+    buyers = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F")
+    return omap.delete_many(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey", buyers, "o_custkey")
+
+
+def q33_ring_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return trace.ring_schedule(table(spark, sf, "customer").select((F.col("c_custkey") - table_first(spark, sf, "customer", "c_custkey")).alias("seq"), "c_custkey"), "seq", F.col("c_custkey") * 37 % 64, 6, every=3, spare=4)
+
+
+def q34_path_accesses(spark: SparkSession, sf: str) -> DataFrame:
+    return trace.path_accesses(table(spark, sf, "events"), "event_id", F.col("user_id"), 10)
+
+
+def q35_path_cache(spark: SparkSession, sf: str) -> DataFrame:
+    return trace.path_cache(table(spark, sf, "customer"), "c_custkey", F.col("c_custkey") * 37 % 256, 8, 16)
+
+
+def q36_pack_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of paths in packs of three levels, back from their heap index, and whether a path and its neighbour's meet."""
+    paths = trace.path_indices(table(spark, sf, "customer"), "c_custkey", F.col("c_custkey") % 512, 9)
+    pack, place = bits.pack_index(F.col("c_custkey") % 512, F.col("depth"), 9, 3)
+    depth, first = bits.place_of(F.col("idx"), 9)
+    meets = bits.paths_meet(F.col("c_custkey") % 512, (F.col("c_custkey") + 1) % 512, F.col("depth"), 9)
+    return paths.select("c_custkey", "depth", pack.alias("pack"), place.alias("place"), depth.cast("long").alias("depth_again"), first.alias("first_leaf"), meets.alias("meets"))
+
+
+def q37_address_walk(spark: SparkSession, sf: str) -> DataFrame:
+    return oarray.address_walk(table(spark, sf, "part").select("p_partkey"), F.col("p_partkey") % 4096, 12)
+
+
+def q38_copy_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A range read at unaligned bounds and written back, raised, over the rest."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    part = oarray.copy_out(orders, "o_orderkey", 137, 1041).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    return oarray.copy_in(orders, part, "o_orderkey")
+
+
+def q39_shadow_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the map of all events differs from a shadow that missed every tenth."""
+    events = table(spark, sf, "events")
+    answers = omap.upsert_many(events, "user_id", "value", "event_id").select("user_id", "v")
+    shadow = omap.upsert_many(events.filter(F.col("event_id") % 10 != 0), "user_id", "value", "event_id").select("user_id", "v")
+    return omap.differences(answers, shadow, "user_id")
+
+
+def q40_bernoulli(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.bernoulli_by_key(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 0.125)
+
+
+def q41_exact_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.exact_size_by_key(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
+
+
+def q42_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products of an order's ways, as arrays of its line numbers, and pages of 7 rows that they take."""
+    ways = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("ways"))
+    total = bits.product(F.col("ways"))
+    return ways.select("l_orderkey", total.alias("total"), bits.divide_round_up(total, 7).alias("pages"))
+
+
+def q43_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return omap.in_order(omap.bulk_build(table(spark, sf, "customer"), "c_custkey"), "c_custkey")
+
+
+def q44_reals(spark: SparkSession, sf: str) -> DataFrame:
+    marked = table(spark, sf, "events").select("event_id", (F.col("user_id") % 3 == 0).alias("is_dummy"))
+    return partition.reals(marked, "is_dummy").select("event_id")
+
+
+def q45_small_sorts(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", ordering.sort_array_by_network(F.array(*[key * m % 101 for m in (7, 11, 13, 17, 19, 23)])).alias("a")).select("p_partkey", *[F.get("a", F.lit(i)).alias(f"a{i}") for i in range(6)])
+
+
+def q46_mixed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with a sealed part, opened again; whether a replayed and a moved one were noticed; equality; counter mode."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    sealed = seal_columns(orders, ["o_custkey"], DEMO_KEY, "o_orderkey", 5)
+    replayed = unseal(F.col("sealed"), DEMO_KEY, F.col("o_orderkey"), 4).isNull()
+    moved = unseal(F.col("sealed"), DEMO_KEY, F.col("o_orderkey") + 1, 5).isNull()
+    hidden = ~F.contains(F.col("sealed"), F.encode(F.lit("o_custkey"), "utf-8"))
+    noticed = sealed.withColumn("replayed", replayed).withColumn("moved", moved).withColumn("hidden", hidden)
+    opened = unseal_columns(noticed, "o_custkey long", DEMO_KEY, "o_orderkey", 5)
+    twice = ctr(ctr(F.col("o_orderstatus"), DEMO_KEY, nonce(F.col("o_orderkey"))), DEMO_KEY, nonce(F.col("o_orderkey"))).cast("string")
+    same = sealed_equal(seal_random(F.col("o_orderstatus"), DEMO_KEY), seal_random(F.lit("F"), DEMO_KEY), DEMO_KEY)
+    return opened.select("o_orderkey", "o_custkey", "replayed", "moved", "hidden", twice.alias("status"), same.alias("is_f"))
+
+
+def table_first(spark: SparkSession, sf: str, name: str, column: str) -> int:
+    """The least value of a column, from the files' statistics or a scan of that column."""
+    return table(spark, sf, name).agg(F.min(column)).first()[0]
 
 
 def queries() -> dict[str, Query]:
@@ -230,7 +346,49 @@ select o_orderkey, idx, row_number() over (order by case when pg = last_pg then
 c as (select bucket, count(*) as n from r group by bucket)
 select bucket, slot, event_id, slot >= 640 as overflow from r
 union all select bucket, slot, cast(null as bigint), false from (select bucket, unnest(range(n, 640)) as slot from c where n < 640) f""",
-    "q29_prefix_totals": "select event_type, count(*) as calls, cast(sum(event_id) as bigint) as total, max(value) as top from events group by event_type",
+    "q29_prefix_totals": "select event_type, count(*) as calls, cast(sum(event_id) as bigint) as total, cast(sum(event_id) as double) / count(*) as mean, bit_xor(event_id) as xor, max(value) as top from events group by event_type",
+    "q30_tail_probabilities": """with cases as (
+  select 'binom' as kind, n, unnest(range(0, n + 1, greatest(1, n // 6))) as k, p, 0::bigint as m from (values (10::bigint), (60), (200)) as a(n), (values (0.1::double), (0.35), (0.5)) as b(p)
+  union all select 'hyper', n, unnest(range(0, least(m, n // 3) + 1, 2)), 0.0::double, m from (select n, unnest([5, n // 2]) as m from (values (30::bigint), (120)) as c(n)) d),
+terms as (select kind, n, k, p, m, unnest(range(0, n + 1)) as i from cases),
+valued as (select kind, n, k, p, m, i, case when kind = 'binom' then lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(p) + (n - i) * ln(1 - p)
+  when i > m or i > n // 3 or n // 3 - i > n - m then null
+  else lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) + lgamma(n - m + 1.0) - lgamma(n // 3 - i + 1.0) - lgamma(n - m - n // 3 + i + 1.0) - lgamma(n + 1.0) + lgamma(n // 3 + 1.0) + lgamma(n - n // 3 + 1.0) end as e
+  from (select kind, n, k, case when kind = 'binom' then p else 0.5 end as p, m, i from terms) t)
+select kind, n, k, case when kind = 'binom' then p else 0.0 end as p, m, cast(floor(1e6 * coalesce(sum(case when i = k then exp(e) end), 0) + 0.123) as bigint) as point, cast(floor(1e6 * coalesce(sum(case when i > k then exp(e) end), 0) + 0.123) as bigint) as above
+from valued group by kind, n, k, p, m""",
+    "q31_apply_log": "select user_id, v from (select user_id, arg_max(value, event_id) as v, max(event_id) as s from events group by user_id) x where s % 3 <> 0",
+    "q32_delete_many": "select c_custkey, c_acctbal from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F')",
+    "q33_ring_schedule": """with a as (select c_custkey - (select min(c_custkey) from customer) as t, c_custkey * 37 % 64 as p from customer),
+e as (select t, p, d, false as evicted from a, (select unnest(range(7)) as d) x
+  union all select t, 63 - list_sum(list_transform(range(6), lambda b: ((((t + 1) // 3 - 1) % 64 >> b) & 1) << (5 - b))), d, true from a, (select unnest(range(6)) as d) y where (t + 1) % 3 = 0),
+n as (select t, d, (1::bigint << d) - 1 + (cast(p as bigint) >> (6 - d)) as idx, evicted from e),
+s as (select *, sum(case when evicted then 1 else 0 end) over (partition by idx order by t, evicted rows between unbounded preceding and current row) as turn from n),
+r as (select t, d, idx, row_number() over (partition by idx, turn order by t) as j from s where not evicted)
+select t as seq, d as depth, idx, j % 5 = 0 as whole from r""",
+    "q34_path_accesses": """select event_id, user_id as address, coalesce(lag(((event_id + 1) * 48271) % 2147483647 % 1024) over (partition by user_id order by event_id), ((user_id + 1) * 48271) % 2147483647 % 1024) as position,
+  ((event_id + 1) * 48271) % 2147483647 % 1024 as remapped from events""",
+    "q35_path_cache": """with a as (select c_custkey * 9 + d as t, (1::bigint << d) - 1 + ((c_custkey * 37 % 256) >> (8 - d)) as pg from customer, (select unnest(range(9)) as d) x),
+b as (select t, pg, lag(t) over (partition by pg order by t) as p from a)
+select count(*) as hits from (select b.t, count(distinct a.pg) as d from b left join a on a.t > b.p and a.t < b.t where b.p is not null group by b.t) z where d < 16""",
+    "q36_pack_indices": """with p as (select c_custkey, c_custkey % 512 as pos, (c_custkey + 1) % 512 as other, d as depth from customer, (select unnest(range(10)) as d) x),
+i as (select *, depth - depth % 3 as root, (1::bigint << depth) - 1 + (pos >> (9 - depth)) as idx from p)
+select c_custkey, depth, ((1::bigint << root) - 1) // 7 + (pos >> (9 - root)) as pack, (1::bigint << (depth % 3)) - 1 + (pos >> (9 - depth)) % (1::bigint << (depth % 3)) as place,
+  cast(length(bin(idx + 1)) - 1 as bigint) as depth_again, ((pos >> (9 - depth)) << (9 - depth)) as first_leaf, (pos >> (9 - depth)) = (other >> (9 - depth)) as meets from i""",
+    "q37_address_walk": "select p_partkey, cast(l as int) as level, (p_partkey % 4096) >> (12 - l) as block from part, (select unnest(range(13)) as l) x",
+    "q38_copy_range": "select o_orderkey, o_totalprice + case when o_orderkey >= 137 and o_orderkey < 1041 then 1 else 0 end as o_totalprice from orders",
+    "q39_shadow_differences": """with a as (select user_id, arg_max(value, event_id) as v from events group by user_id), b as (select user_id, arg_max(value, event_id) as v from events where event_id % 10 <> 0 group by user_id)
+select coalesce(a.user_id, b.user_id) as user_id, a.v as answer, b.v as shadow from a full join b on a.user_id = b.user_id where a.user_id is null or b.user_id is null or a.v is distinct from b.v""",
+    "q40_bernoulli": "select o_orderkey from orders where ((o_orderkey + 1) * 48271) % 2147483647 < 268435455",
+    "q41_exact_sample": "select o_orderkey from orders order by ((o_orderkey + 1) * 48271) % 2147483647, o_orderkey limit 100",
+    "q42_products": "select l_orderkey, cast(product(l_linenumber) as bigint) as total, cast((cast(product(l_linenumber) as bigint) + 6) // 7 as bigint) as pages from lineitem group by l_orderkey",
+    "q43_in_order": """with recursive t(l, r, m, depth) as (
+  select cast(0 as bigint), n - 1, (n - 1) // 2, cast(0 as bigint) from (select count(*) as n from customer) c0
+  union all select nl, nr, (nl + nr) // 2, depth + 1 from (select case when s = 0 then l else m + 1 end as nl, case when s = 0 then m - 1 else r end as nr, depth from t cross join (values (0), (1)) as d(s)) q where nl <= nr)
+select c.c_custkey, t.depth from t join (select c_custkey, row_number() over (order by c_custkey) - 1 as i from customer) c on c.i = t.m""",
+    "q44_reals": "select event_id from events where user_id % 3 <> 0",
+    "q45_small_sorts": "select p_partkey, a[1] as a0, a[2] as a1, a[3] as a2, a[4] as a3, a[5] as a4, a[6] as a5 from (select p_partkey, list_sort([p_partkey * 7 % 101, p_partkey * 11 % 101, p_partkey * 13 % 101, p_partkey * 17 % 101, p_partkey * 19 % 101, p_partkey * 23 % 101]) as a from part) x",
+    "q46_mixed_records": "select o_orderkey, o_custkey, true as replayed, true as moved, true as hidden, o_orderstatus as status, o_orderstatus = 'F' as is_f from orders",
 }
 
 

@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veil.operators import omap
+
 
 def upsert_stream(log: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """A running map: key, v (the last write's value), writes. For complete or update mode."""
-    return log.groupBy(key).agg(F.max_by(value, seq).alias("v"), F.count("*").alias("writes"))
+    return omap.upsert_many(log, key, value, seq)
 
 
 def windowed_writes(log: DataFrame, time: str, span: str, late: str) -> DataFrame:
