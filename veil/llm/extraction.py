@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +23,11 @@ from .common import slices, texts_of, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup; it ends at their own end tag only.
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select option datalist dialog menu label input canvas audio video map".split())
+RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template object".split())
+#: A header of an article or main element is kept: it holds the heading and the lead.
+DROPPED = RAW | frozenset("head nav footer aside form button select option datalist dialog menu input canvas audio video map desc defs metadata annotation annotation-xml".split())
 BLOCK = frozenset(
-    "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article blockquote body center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd figcaption h1 h2 h3 h4 h5 h6 div section article main body".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -37,6 +39,11 @@ UNLIKELY = frozenset(
 #: Words that say that another class word is about the surroundings, as in `with-sidebar`.
 ABOUT = frozenset("with has no without".split())
 LIKELY = frozenset("article content main post entry story body text page blog".split())
+#: Words that say nothing beside an unlikely one, as in `ad-box`.
+NEUTRAL = LIKELY | frozenset("box bar wrapper wrap container block area section list inner outer left right top bottom item link links panel label line row".split())
+#: What an element of these tags holds is judged by its class only if the class says nothing else.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption caption span b i em strong a q cite code mark small sub sup u label".split())
+PENALTY = 25.0
 KEPT_TAGS = frozenset("html body article main".split())
 #: A start tag of the first ends an open element of the second, up to a scope element.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody")}
@@ -50,10 +57,11 @@ _WORDS = re.compile(r"[^\W_]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "bonus", "named", "chars", "linked", "points", "children")
+    __slots__ = ("tag", "parent", "dropped", "bonus", "named", "inside", "chars", "linked", "points", "children")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, bonus: float, named: bool = False):
         self.tag, self.parent, self.dropped, self.bonus, self.named = tag, parent, dropped, bonus, named
+        self.inside = named or parent is not None and parent.inside  # an article or main element
         self.chars = self.linked = 0
         self.points = 0.0
         self.children: list[Node | str] = []
@@ -65,7 +73,7 @@ def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float, bool]
     """Whether the element is boilerplate, points for its tag and class, and whether it is an article or main by tag or role."""
     named = tag in ("article", "main")
     bonus = 25.0 * named
-    if tag in DROPPED:
+    if tag in DROPPED or tag == "header" and not parent.inside:
         return True, bonus, named
     unlikely = False
     for m in _ATTRIBUTE.finditer(attributes):
@@ -76,9 +84,14 @@ def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float, bool]
             named |= value.strip() in ("main", "article")
         elif name in ("class", "id"):
             for item in value.split():
-                words = set(_WORDS.findall(item))
+                found = _WORDS.findall(item)
+                words = set(found)
                 if words & UNLIKELY and not words & ABOUT:
-                    unlikely = True
+                    # `post-comments` are comments; a `notice-board-story` is a story, if of less weight.
+                    if words <= UNLIKELY | NEUTRAL if tag in TEXT else found[-1] not in LIKELY or words <= UNLIKELY | NEUTRAL:
+                        unlikely = True
+                    else:
+                        bonus -= PENALTY
                 elif words & LIKELY:
                     bonus += 10.0
         elif name == "style":
@@ -93,6 +106,12 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     root = Node("html", None, False, 0.0)
     nodes, top, at, size = [root], root, 0, len(html)
     stack = [root]
+    opened: Counter[str] = Counter()  # of the stack's tags, but for the root: no search goes up it in vain
+
+    def close(to: int) -> None:
+        while len(stack) > to:
+            opened[stack.pop().tag] -= 1
+
     while at < size:
         lt = html.find("<", at)
         if lt < 0:
@@ -123,30 +142,31 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             attributes, at = rest[0][:-1], rest.end()
         tag = m[2].lower()
         if m[1]:
-            if any(node.tag == tag for node in stack[:0:-1]):
-                while stack.pop().tag != tag:
-                    pass
+            if opened[tag]:
+                while stack[-1].tag != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
                 top = stack[-1]
             continue
-        if tag in ("html", "body") and any(node.tag == tag for node in stack[1 if tag == "body" else 0 :]):
+        if tag == "html" or tag == "body" and opened["body"]:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and opened["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE or stack[i].tag in DROPPED:
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(opened[x] for x in ENDS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ENDS[tag]:
-                    del stack[i:]
+                    close(i)
                     if tag in ("li", "dt", "dd", "td", "th"):
                         break
                 elif stack[i].tag in SCOPE:
                     break
         if tag == "body":
-            del stack[1:]  # an unclosed head ends here
+            close(1)  # an unclosed head ends here
         top = stack[-1]
         dropped, bonus, named = _judged(tag, attributes, top)
         node = Node(tag, top, dropped or top.dropped, bonus, named)
@@ -157,10 +177,11 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             if end is None:
                 break
-            close = html.find(">", end.start())
-            at = size if close < 0 else close + 1
+            last = html.find(">", end.start())
+            at = size if last < 0 else last + 1
             continue
         stack.append(node)
+        opened[tag] += 1
         top = node
     return root, nodes
 
