@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, partitions, slices, texts_of, tidied
 
-#: Nodes of the search for one filling, tried in this order until the lower bound is met.
-EFFORTS = (0, 200, 4000)
-#: Bins that the search over alternative fillings tries where these miss the bound, and fillings it weighs for each.
-BACKTRACKS = 2000
+#: Bins that the branch and bound tries, and undominated fillings that it weighs for each.
+BACKTRACKS = 5_000
 FILLINGS = 50
 
 
@@ -47,12 +46,8 @@ class TokenIds:
         self.fast = _by_ranks(spec, set(self.special))
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(s in text for s in self.special):
-            try:
-                return np.array(self.fast.encode_ordinary(text), dtype="<u4")
-            except BaseException as e:  # the rank library panics on some very long runs of white space
-                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                    raise
+        if self.fast is not None and not any(s in text for s in self.special) and not _LONG_SPACE(text):
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -60,6 +55,10 @@ class TokenIds:
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: The rank library's pattern backtracks over runs of white space, and gives up on very long ones.
+_LONG_SPACE = re.compile(r"\s{1000}").search
+
+
 def _by_ranks(spec: dict, special: set[str]):
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
@@ -109,63 +108,67 @@ def cut(df: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str =
     return rows.mapInArrow(tidied(run), PIECES + (", ids binary" if with_ids else ""))
 
 
-def _complete(free: np.ndarray, below: np.ndarray, rem: int, nodes: int) -> list[tuple[int, int]]:
-    """The filling of rem with least waste that the search meets: (size, copies), largest sizes first.
+Pattern = tuple[list[tuple[int, int]], int]
 
-    A size is tried with as many copies as fit before fewer, so fillings that another one dominates (a larger
-    piece in the place of smaller ones) come late. The first descent is the best-fit filling, the incumbent.
-    """
-    best: list[tuple[int, int]] = []
-    least = rem + 1
-    budget = nodes
-
-    def search(rem: int, cap: int, chosen: list[tuple[int, int]]) -> bool:
-        nonlocal best, least, budget
-        if rem < least:
-            least, best = rem, chosen[:]
-        if not least:
-            return True
-        size = int(below[min(rem, cap)])
-        while size:
-            for copies in range(min(int(free[size]), rem // size), 0, -1):
-                chosen.append((size, copies))
-                if search(rem - size * copies, size - 1, chosen):
-                    return True
-                chosen.pop()
-                budget -= 1
-                if budget < 0:
-                    return True
-            size = int(below[size - 1])
-        return False
 
-    search(rem, rem, [])
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing takes: pieces over capacity - k stand alone, and what is at least k long must find
+    room beside the halves; the best bound over all k."""
+    number, tokens = np.zeros(capacity + 2, dtype=np.int64), np.zeros(capacity + 2, dtype=np.int64)
+    for size, n in counts.items():
+        number[size], tokens[size] = n, size * n
+    number, tokens = np.cumsum(number), np.cumsum(tokens)  # of pieces up to each size
+    half = capacity // 2
+    best = 0
+    for k in range(half + 1):
+        alone = number[capacity] - number[capacity - k]
+        large, large_tokens = number[capacity - k] - number[half], tokens[capacity - k] - tokens[half]
+        small = tokens[half] - (tokens[k - 1] if k else 0)
+        best = max(best, int(alone + large + max(0, -(-(small - (large * capacity - large_tokens)) // capacity))))
     return best
 
 
-def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns [(size, copies), ...] with multiplicities that use every piece once, in few sequences."""
-    total = sum(s * n for s, n in counts.items())
-    least = -(-total // capacity)
-    best: list[tuple[list[tuple[int, int]], int]] | None = None
-    bins = 0
-    for effort in EFFORTS:
-        allowed = None if best is None else (bins - 1) * capacity - total
-        found = _build(counts, capacity, effort, allowed)
-        if found is not None and (best is None or sum(m for _, m in found) < bins):
-            best, bins = found, sum(m for _, m in found)
-        if bins <= least:
-            break
-    left = BACKTRACKS
-    while best and bins > least and left > 0:
+def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best-fit decreasing on the table: each piece, the largest first, goes to the fullest sequence with room for it."""
+    bins: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}  # by room left
+    for size in sorted(counts, reverse=True):
+        n = counts[size]
+        while n:
+            room = min((r for r in bins if r >= size), default=capacity)
+            uses, times = bins[room].pop() if room in bins else ([], -(-n // (capacity // size)))
+            if room in bins and not bins[room]:
+                del bins[room]
+            copies = room // size
+            full = min(times, n // copies)
+            rest = n - full * copies if full < times else 0
+            parts = [(copies, full), (rest, 1 if rest else 0), (0, times - full - (1 if rest else 0))]
+            for c, t in parts:
+                if t:
+                    bins.setdefault(room - c * size, []).append(([*uses, (size, c)] if c else uses, t))
+            n -= full * copies + rest
+    return [(uses, times) for group in bins.values() for uses, times in group if uses]
+
+
+def plan_patterns(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Patterns [(size, copies), ...] with multiplicities that use every piece once, in few sequences.
+
+    Best-fit decreasing gives the incumbent. The branch and bound looks for a packing of one sequence less until none
+    is left, the lower bound is met, or BACKTRACKS bins have been tried; then the incumbent stands.
+    """
+    least, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
+    best = best_fit(counts, capacity)
+    bins, left = sum(m for _, m in best), BACKTRACKS
+    while bins > least and left > 0:
         found, left = _search(counts, capacity, (bins - 1) * capacity - total, left)
         if found is None:
             break
         best, bins = found, sum(m for _, m in found)
-    return best or []
+    return best
 
 
-def _fillings(free: np.ndarray, below: np.ndarray, rem: int) -> list[list[tuple[int, int]]]:
-    """Undominated fillings of rem, least waste first: no used piece, nor none, has a free larger one that fits in its place."""
+def _fillings(free: np.ndarray, below: np.ndarray, rem: int, perfect: bool) -> list[list[tuple[int, int]]]:
+    """Undominated fillings of rem, least waste first: no used piece, nor none, has a free larger one that fits in its
+    place. perfect: only the first one met that leaves no waste, if any."""
     found: list[tuple[int, list[tuple[int, int]]]] = []
     budget = 20 * FILLINGS
 
@@ -177,28 +180,33 @@ def _fillings(free: np.ndarray, below: np.ndarray, rem: int) -> list[list[tuple[
             other = int(below[other - 1])
         return False
 
-    def walk(rem: int, cap: int, chosen: list[tuple[int, int]]) -> None:
+    def walk(rem: int, cap: int, chosen: list[tuple[int, int]]) -> bool:
         nonlocal budget
         budget -= 1
         used = dict(chosen)
-        if not any(larger(size, rem, used) for size in (0, *used)):
+        if not rem or not perfect and not any(larger(size, rem, used) for size in (0, *used)):
             found.append((rem, chosen[:]))
+            if perfect:
+                return True
         size = int(below[min(rem, cap)])
         while size and budget > 0 and len(found) < FILLINGS:
             for copies in range(min(int(free[size]), rem // size), 0, -1):
                 chosen.append((size, copies))
-                walk(rem - size * copies, size - 1, chosen)
+                if walk(rem - size * copies, size - 1, chosen):
+                    return True
                 chosen.pop()
             size = int(below[size - 1])
+        return False
 
     walk(rem, rem, [])
     return [filling for _, filling in sorted(found, key=lambda f: f[0])]
 
 
 def _search(counts: dict[int, int], capacity: int, allowed: int, nodes: int):
-    """Patterns with at most the allowed waste, by backtracking over undominated fillings, and the nodes left.
+    """Patterns with at most the allowed waste, by branch and bound over undominated fillings, and the nodes left.
 
-    None if the nodes end before, or none is met; with FILLINGS of a bin weighed at most, that proves nothing.
+    Each bin is begun with the largest free piece, since that must go somewhere. A branch ends where its waste passes
+    what a better packing may waste. None if the nodes end before, or none is met.
     """
     free = np.zeros(capacity + 1, dtype=np.int64)
     for size, n in counts.items():
@@ -211,21 +219,26 @@ def _search(counts: dict[int, int], capacity: int, allowed: int, nodes: int):
         top = int(below[capacity])
         rest = free.copy()
         rest[top] -= 1
-        options = _fillings(rest, np.maximum.accumulate(np.where(rest > 0, sizes, 0)), capacity - top)
-        for filling in options:
-            uses = {top: 1}
-            for size, copies in filling:
-                uses[size] = uses.get(size, 0) + copies
-            lost = capacity - sum(s * c for s, c in uses.items())
-            times = min(int(free[s]) // c for s, c in uses.items())
-            if lost:
-                times = min(times, (allowed - waste) // lost)
-            while times:
-                after = free.copy()
-                for s, c in uses.items():
-                    after[s] -= c * times
-                yield after, waste + times * lost, (sorted(uses.items(), reverse=True), times)
-                times //= 2
+        own = np.maximum.accumulate(np.where(rest > 0, sizes, 0))
+        tried: list[list[tuple[int, int]]] = []
+        for perfect in (True, False):
+            for filling in _fillings(rest, own, capacity - top, perfect):
+                if filling in tried:
+                    continue
+                tried.append(filling)
+                uses = {top: 1}
+                for size, copies in filling:
+                    uses[size] = uses.get(size, 0) + copies
+                lost = capacity - sum(s * c for s, c in uses.items())
+                times = min(int(free[s]) // c for s, c in uses.items())
+                if lost:
+                    times = min(times, (allowed - waste) // lost)
+                while times:
+                    after = free.copy()
+                    for s, c in uses.items():
+                        after[s] -= c * times
+                    yield after, waste + times * lost, (sorted(uses.items(), reverse=True), times)
+                    times //= 2
 
     if not free.any():
         return [], nodes
@@ -246,35 +259,6 @@ def _search(counts: dict[int, int], capacity: int, allowed: int, nodes: int):
     return None, nodes
 
 
-def _build(counts: dict[int, int], capacity: int, effort: int, allowed: int | None):
-    """One pass of bin completion; None as soon as the waste so far rules out beating the incumbent."""
-    free = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in counts.items():
-        free[size] = n
-    sizes = np.arange(capacity + 1)
-    waste, patterns = 0, []
-    below = np.maximum.accumulate(np.where(free > 0, sizes, 0))
-    while below[capacity]:
-        top = int(below[capacity])
-        free[top] -= 1
-        if not free[top]:
-            below = np.maximum.accumulate(np.where(free > 0, sizes, 0))
-        filling = _complete(free, below, capacity - top, effort)
-        free[top] += 1
-        uses: dict[int, int] = {top: 1}
-        for size, copies in filling:
-            uses[size] = uses.get(size, 0) + copies
-        times = min(int(free[s]) // c for s, c in uses.items())
-        for s, c in uses.items():
-            free[s] -= c * times
-        below = np.maximum.accumulate(np.where(free > 0, sizes, 0))
-        waste += times * (capacity - sum(s * c for s, c in uses.items()))
-        if allowed is not None and waste > allowed:
-            return None
-        patterns.append((sorted(uses.items(), reverse=True), times))
-    return patterns
-
-
 def pack(df: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str = "doc_id", text: str = "text", separator: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with sequence_id and offset added.
 
