@@ -23,10 +23,9 @@ from .common import slices, texts_of, tidied
 
 BLOCK = 1024
 LEVEL = 3
-DICTIONARY_BYTES = 64 << 10
-#: Labelled rows of each class that the model is fitted on at most, and blocks that the dictionaries take of each.
+DICTIONARY_BYTES = 256 << 10
+#: Labelled rows of each class that the model is fitted on at most, whole texts.
 SAMPLE_ROWS = 4000
-SAMPLE_BLOCKS = 4
 
 
 @dataclass(frozen=True)
@@ -93,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Fit on at most sample_rows labelled rows of each class, those with the smallest hash of the id.
 
     One half of them makes the dictionaries, the other the curve; class weights restore the classes' shares among
-    all labelled rows. Rows that are held out, and labels other than 0 and 1, take no part.
+    all labelled rows. Rows that are held out, and labels other than 0 and 1, take no part. A sampled id counts once,
+    however often it stands in either table: with its least label, and of several texts the least.
     """
     usable = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     totals = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
@@ -104,17 +104,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = [hashed.filter(F.col("label") == y).orderBy("_h", "doc_id").limit(sample_rows) for y in (0, 1)]
     rows = sorted({(r["doc_id"], int(r["label"]), r["_h"] & 1) for c in chosen for r in c.collect()})  # bounded by sample_rows
     # A sampled id may fit one row only, so that repeated labels don't multiply its text.
-    sample = docs.sparkSession.createDataFrame(list({r[0]: r for r in rows}.values()), "doc_id long, label int, part long")
+    sample = docs.sparkSession.createDataFrame(list({r[0]: r for r in reversed(rows)}.values()), "doc_id long, label int, part long")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "label", "part").agg(F.min("text").alias("text"))  # an id names one text
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[tuple[int, int, bytes]] = []
             for i, y, string in zip(batch.column("doc_id").to_pylist(), batch.column("label").to_pylist(), texts_of(batch), strict=True):
                 data = string.encode()
-                starts = list(range(0, len(data), BLOCK))
-                step = max(1, -(-len(starts) // SAMPLE_BLOCKS))
-                out += [(i, y, data[s : s + BLOCK]) for s in starts[::step]]
+                out += [(i, y, data[s : s + BLOCK]) for s in range(0, len(data), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "label", "block"])
 
     found = sorted((r["doc_id"], i, r["label"], bytes(r["block"])) for i, r in enumerate(texts.filter("part = 0").mapInArrow(tidied(blocks), "doc_id long, label int, block binary").collect()))
