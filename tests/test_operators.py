@@ -210,3 +210,65 @@ def test_sealed_values_open_only_unchanged(spark):
     assert df.filter(crypto.unseal(F.col("c"), key, F.col("i"), 3).cast("string") != F.col("v")).count() == 0
     assert df.filter(crypto.unseal(F.col("c"), key, F.col("i"), 2).isNotNull()).count() == 0
     assert df.filter(crypto.unseal(F.col("c"), key, F.col("i") + 1, 3).isNotNull()).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40, 300])
+def test_global_order_over_many_ranges(spark, parts):
+    """Ranks, ranks within hot groups, neighbours and carried values against plain lists, for searches of several steps."""
+    import random
+
+    from veil.plans.global_order import GlobalOrder
+
+    r = random.Random(parts)
+    rows = [(r.choice(["hot", "hot", "hot", *"abcdef"]), r.choice([0.5, -1.5, float("inf"), r.random()]), i, r.choice([None, None, i])) for i in range(700)]
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "g string, x double, i long, v long").repartition(3)
+        order = GlobalOrder(df, ["g", F.col("x"), "i"]).add_rank("rank").add_rank_within("g", "within", start=0)
+        got = {x.i: (x.rank, x.within) for x in order.frame().collect()}
+        carried = {x.i: x.last for x in GlobalOrder(df, ["g", "x", "i"]).last_before(F.col("v"), "g", "last").collect()}
+        previous = {x.i: x.prev for x in GlobalOrder(df, ["g", "x", "i"]).previous("i", "prev").collect()}
+        top = {x.i: x.top for x in GlobalOrder(df, ["g", "x", "i"]).running_max(F.col("i"), "top").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    within, last, most, prev = {}, {}, -1, None
+    for rank, (g, _, i, v) in enumerate(sorted(rows, key=lambda x: x[:3]), 1):
+        assert got[i] == (rank, within.get(g, 0)) and carried[i] == last.get(g) and previous[i] == prev
+        within[g], prev, most = within.get(g, 0) + 1, i, max(most, i)
+        last[g] = v if v is not None else last.get(g)
+        assert top[i] == most
+    assert GlobalOrder(df.limit(0), ["i"]).ranked("rank").count() == 0
+
+
+def test_log_of_deletes_and_shadow(spark):
+    log = spark.createDataFrame([("a", 1, 1, False), ("a", 2, 2, True), ("b", 3, 1, True), ("b", 4, 2, False), ("c", None, 1, False), ("d", 5, 1, True), ("d", 5, 2, True)], "k string, v int, s long, gone boolean")
+    held = omap.apply_log(log, "k", "v", "s", F.col("gone"))
+    assert sorted((x.k, x.v) for x in held.collect()) == [("b", 4), ("c", None)]
+    assert omap.differences(held, held, "k").count() == 0
+    shadow = spark.createDataFrame([("b", 4), ("c", 1), ("e", None)], "k string, v int")
+    assert sorted((x.k, x.answer, x.shadow) for x in omap.differences(held, shadow, "k").collect()) == [("c", None, 1), ("e", None, None)]
+
+
+def test_ring_accesses_by_simulation(spark):
+    """Counters of every bucket, renewed by whole reads and by evictions, access by access."""
+    import random
+
+    r = random.Random(9)
+    levels, every, spare = 4, 3, 2
+    paths = [r.randrange(2**levels) for _ in range(120)]
+    counter, turn, want = {}, 0, {}
+    for t, p in enumerate(paths):
+        for d in range(levels + 1):
+            idx = 2**d - 1 + (p >> (levels - d))
+            want[t, idx] = counter.get(idx, 0) >= spare
+            counter[idx] = 0 if want[t, idx] else counter.get(idx, 0) + 1
+        if (t + 1) % every == 0:
+            leaf = 2**levels - 1 - int(f"{turn % 2**levels:0{levels}b}"[::-1], 2)
+            turn += 1
+            for d in range(levels):
+                counter[2**d - 1 + (leaf >> (levels - d))] = 0
+    df = spark.createDataFrame(list(enumerate(paths)), "t long, p long")
+    got = {(x.t, x.idx): x.whole for x in trace.ring_schedule(df, "t", F.col("p"), levels, every, spare).collect()}
+    assert got == want and any(want.values())

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def knapsack(df: DataFrame, group: str, weight: Column, value: Column, capacity: int) -> DataFrame:
     """(group, best): the largest total value of a group's items within the capacity.
 
-    Items are taken in the order of (weight, value), so sums of doubles are the same on every run.
+    Items are taken in the order of (weight, value), so sums of doubles are the same on every run. A group's items are
+    folded in one array of capacity + 1 values, so the items of one group must fit a task.
     """
     items = df.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(weight.cast("int").alias("w"), value.alias("v")))).alias("items"))
 

@@ -22,8 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir() + "/veil-checkpoints"
 
 
+_PATHS: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the tables written in this session; frames that read them can't be read any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _PATHS.pop(spark.sparkContext.applicationId, []):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df's rows as a Parquet table in the shared folder: lost executors cost no recomputation, bounds stay as drawn."""
+    """df's rows as a Parquet table in the shared folder: lost executors cost no recomputation, random tags stay as drawn.
+
+    It stays until clean(), since the frame returned reads it.
+    """
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _PATHS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
