@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,8 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python tasks work on slices of at most this much text, so a worker's memory doesn't follow the batch size.
-SLICE_BYTES = 4 << 20
+#: Python tasks work on slices of at most so much text and so many rows, so a worker's memory doesn't follow the batch size.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
+#: Rows and bytes of an Arrow batch where the session names no number: whole texts and packed blobs in large batches fill
+#: workers and the buffers of executors, which keep them.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in order, cut so that each slice has one row or at most max_bytes in the column."""
+    """The batches' rows in order, cut so that each slice has one row or at most max_bytes in the column, and SLICE_ROWS."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,7 +34,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", max_bytes: i
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+            stop = min(start + SLICE_ROWS, max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -65,47 +66,36 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share; one of our own only in a session that is a single process.
+
+    Raises ValueError where the session names none and executors run elsewhere, since they couldn't read it.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     ours = spark.sparkContext.getCheckpointDir()
     if ours:
         return ours.rstrip("/")
-    import tempfile
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile  # one process: its own folder is shared by all that runs
 
     return "file://" + tempfile.gettempdir() + "/veil-checkpoints"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at some later collection.
-
-    The first round drops what Python held, the second what only that kept alive.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Within it, Arrow batches have at most this many rows: whole texts in large batches fill workers and JVM buffers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bounded_batches(spark: SparkSession) -> None:
+    """Give the session BATCHES, once, unless it has set them; results don't depend on them."""
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veil-{what}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    bounded_batches(spark)
+    df.write.parquet(path)
     _written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -117,17 +107,46 @@ def _written(spark: SparkSession) -> list[str]:
     return _PATHS.setdefault(spark.sparkContext.applicationId, [])
 
 
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        _written(spark).remove(path)
+
+
+def _read_by(spark: SparkSession, frame: DataFrame) -> set[str]:
+    """The written tables that a frame reads."""
+    names = {part for f in frame.inputFiles() for part in f.split("/") if part.startswith("veil-")}
+    return {path for path in _written(spark) if path.rsplit("/", 1)[-1] in names}
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete what materialise() wrote for these frames; call it only when no later plan reads them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for path in _written(spark)[:]:
-            name = path.rsplit("/", 1)[-1]
-            if any(name in f for f in frame.inputFiles()[:1]):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
-                _written(spark).remove(path)
+    _delete(spark, set().union(*(_read_by(spark, frame) for frame in frames)))
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that materialise() writes within it are deleted at its end, but for those that a kept frame reads.
+
+    It gives the function that marks a frame as kept, and returns it.
+    """
+    before, kept = set(_written(spark)), set()
+
+    def keep(frame: DataFrame) -> DataFrame:
+        kept.update(_read_by(spark, frame))
+        return frame
+
+    try:
+        yield keep
+    finally:
+        _delete(spark, [path for path in _written(spark) if path not in before and path not in kept])
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that materialise() wrote in this session; frames returned so far can't be read any more."""
+    _delete(spark, list(_written(spark)))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, materialise, scratch
 
 WINDOW = 8
 #: A window must hold at least this many words that are no placeholders.
@@ -186,6 +186,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def decontaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item; rows without an id stay."""
-    held = materialise(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("_held")).distinct(), "contaminated")
+    with scratch(docs.sparkSession) as keep:
+        held = keep(materialise(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("_held")).distinct(), "contaminated"))
     held = broadcast_if_small(held, held.count(), 16, 32 << 20)
     return docs.join(held, F.col(f"`{doc_id}`").cast("long") == F.col("_held"), "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, materialise
+from .common import broadcast_if_small, discard, materialise
 from .components import connected_components
 
 THRESHOLD = 0.93
@@ -219,6 +219,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     found = materialise(found, "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).filter("a <> b").distinct())
+    discard(spark, signed, shared)
     named = classes.select("h1", "h2", "rep", "weight").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = ids.filter("h1 is not null").join(named, ["h1", "h2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialise, partitions, release, slices, tidied, tidy
+from .common import broadcast_if_small, materialise, partitions, scratch, slices, tidied, tidy
 from .components import connected_components
 from .words import ROLL, gram_hashes, mixed, word_hashes
 
@@ -33,9 +33,9 @@ SHINGLE = 5
 #: A link: THRESHOLD[1] * intersection >= THRESHOLD[0] * union.
 THRESHOLD = (75, 100)
 #: Flush points of a map task, and the text it hashes at once.
-BATCH_SHINGLES = 1_000_000
+BATCH_SHINGLES = 600_000
 BATCH_DOCS = 60_000
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 #: Buckets by setting of shuffle partitions; the counting stage has as many tasks.
 BUCKETS = 2
 #: Frequent hashes that get a place of their own in the order, at most; the order is valid whatever their number.
@@ -446,15 +446,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     num, den = THRESHOLD
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = counted(docs, size)
-    release(df.sparkSession)  # the packed hashes aren't needed any more
     counts = rows.filter("doc_id is not null").drop("token", "df")
     sets = ["n", "fp1", "fp2"]
     classes = materialise(counts.filter("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "classes")
     able = classes.filter(F.col("shared") * den >= F.col("n") * num).select(F.col("rep").alias("doc_id"), "n", "shared")
     able = broadcast_if_small(able, able.count(), 40)
     chosen = docs.join(able, "doc_id")
-    found = materialise(ordered_sets(chosen.select("doc_id", "n", "shared", "text"), _frequent(rows), size), "sets")
-    joined = connected_components(links(found), "x", "y").select(F.col("id").alias("rep"), F.col("component"))
+    with scratch(df.sparkSession) as keep:
+        found = materialise(ordered_sets(chosen.select("doc_id", "n", "shared", "text"), _frequent(rows), size), "sets")
+        joined = keep(connected_components(links(found), "x", "y")).select(F.col("id").alias("rep"), F.col("component"))
     named = classes.select(*sets, "rep").join(joined, "rep", "left").select(*sets, F.coalesce("component", "rep").alias("component"))
-    out = counts.join(named, sets, "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # Texts without words meet nowhere; copies of one text share a key, whose partition the planner may split.
+    out = counts.filter("n > 0").join(named, sets).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    return out.union(counts.filter("n = 0").select("doc_id", F.col("n").cast("long"), F.col("doc_id")))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import BoostedTrees, logistic
-from .common import slices, texts_of, tidied
+from .common import bounded_batches, slices, texts_of, tidied
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "local_phone", "national_id", "iban", "spelled_email")
@@ -400,6 +400,7 @@ def find(df: DataFrame, text: str = "text", redact: bool = False) -> DataFrame:
     schema = T.StructType([rows.schema[c] for c in carried])
     for name in added:
         schema = schema.add(name, "long" if name.startswith("n_") else "string")
+    bounded_batches(df.sparkSession)
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import logistic
-from .common import slices, texts_of, tidied
+from .common import bounded_batches, slices, texts_of, tidied
 
 BLOCK = 1024
 LEVEL = 3
@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: f
     are scored, whatever their length; repeated rows get equal scores; an empty table gives an empty result. The
     score depends on the text alone.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

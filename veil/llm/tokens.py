@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidied
+from .common import bounded_batches, materialise, slices, tidied
 
 #: Distinct pre-tokens that a task of the first pass gathers before it hands them on; more only repeat rows.
 GATHERED = 1_000_000
@@ -193,6 +193,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
     each. A text of any length is taken whole. An empty table gives an empty result. tokenizer_path must exist on
     every executor.
     """
+    bounded_batches(df.sparkSession)
     added = ("n_bytes", "n_tokens", "over_limit")
     kept = [c for c in df.columns if c not in added and c != text]
     rows = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept)], F.monotonically_increasing_id().alias("_row"), F.col(f"`{text}`").alias("text"))

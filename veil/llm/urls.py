@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small
+from .common import bounded_batches, broadcast_if_small
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -240,6 +240,7 @@ def judge(df: DataFrame, url: str = "url", host_rules: Sequence[HostRule] = HOST
     without :// has an empty host and path and fits no host rule. URLs are judged whole, whatever their length.
     Repeated rows are judged each; an empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     added = ["host", "path", "rule", "pattern", "verdict"]
     kept = [c for c in df.columns if c not in added]
     rows = df.select(*[F.col(f"`{c}`") for c in kept])

@@ -20,16 +20,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps of a base; longer runs of them are made anew.
+KEPT_POWERS = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1024, 1 << (n - 1).bit_length()) if n > 1 else 1024
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(max(1024, 1 << max(n - 1, 0).bit_length()), base, dtype=np.uint64)
         have[0] = 1
-        have = _POWERS[base] = np.cumprod(have, dtype=np.uint64)
+        np.cumprod(have, out=have, dtype=np.uint64)
+        if len(have) <= KEPT_POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
