@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veil.llm import decontamination, jaccard, packing, pii, quality
-from veil.llm.common import broadcast_if_small, materialise, table
+from veil.llm.common import broadcast_if_small, discard, materialise, scratch, table
 from veil.llm.queries import vocabulary
 
 
@@ -38,8 +38,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the document with the least id; documents without an id stay."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies")
+    with scratch(spark) as keep:
+        found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+        gone = keep(materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), "near-copies"))
     gone = broadcast_if_small(gone, gone.count(), 16, 32 << 20)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
@@ -79,6 +80,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents; each stage's rows are written to the shared folder before the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:  # what the stage wrote on its way goes
+            after = keep(materialise(stage(spark, docs, sf_dir), name))
+        if i:
+            discard(spark, docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
