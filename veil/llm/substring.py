@@ -4,7 +4,8 @@ Consecutive windows that share a minimiser (the least hash among their word trip
 packed string of words to the minimiser's bucket. There the windows are cut out of the strings again, sorted by a
 hash and compared word for word; of equal windows the least document id is the one that keeps its words. Before anything travels, equal
 strings of one batch collapse into the one with the least id, so a passage that most documents share arrives
-once per batch, not once per document.
+once per batch, not once per document. A minimiser that holds more windows than a bucket on average, which a first
+pass finds, shares its windows out by their next least hash.
 """
 
 from __future__ import annotations
@@ -21,24 +22,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, partitions, slices, texts_of, tidied, tidy
-from .words import ROLL, ROLL_INVERSE, distinct_words, gram_hashes, mixed, powers, ranges, span_hashes, spans, word_spans
+from .common import bounded_batches, partitions, slices, texts_of, tidied, tidy
+from .words import ROLL, ROLL_INVERSE, distinct_words, gram_hashes, mixed, powers, ranges, span_hashes, spans, word_hashes, word_spans
 
 WINDOW = 13
 MINIMISER = 3
 #: Words that a map task gathers before it sends packed strings, and text that it hashes at once.
 BATCH_WORDS = 600_000
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
+#: Compression of packed strings, which are most of what travels.
+LEVEL = 5
 #: Buckets by setting of shuffle partitions; the counting stage has twice as many tasks, and counts one bucket at a time.
 BUCKETS = 4
 
 
-def _runs(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers: first word, number of windows, and the minimiser's hash of each."""
+def _runs(words: np.ndarray, bounds: np.ndarray, window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers: first word, number of windows, and the key of each, the minimiser's hash.
+
+    Windows of a hot minimiser (hot is in order) have keys of their two least hashes, so that they spread over buckets.
+    Keys follow from a window's own words, so equal windows have equal keys.
+    """
     n = len(words)
     if n < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    low = gram_hashes(words, MINIMISER)
+    grams = low = gram_hashes(words, MINIMISER)
     span = window - MINIMISER + 1
     have = 1
     while have < span:
@@ -50,6 +57,12 @@ def _runs(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarra
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     least = low[starts]
+    if len(hot):
+        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, least), len(hot) - 1)] == least)
+        for part in np.array_split(at, len(at) // 50_000 + 1):
+            all_of = grams[starts[part][:, None] + np.arange(span)]
+            all_of[all_of == least[part][:, None]] = np.uint64(2**64 - 1)
+            least[part] = mixed(least[part] + mixed(all_of.min(axis=1)))
     first = np.ones(len(starts), dtype=bool)
     first[1:] = (np.diff(starts) != 1) | (least[1:] != least[:-1])
     at = np.flatnonzero(first)
@@ -65,7 +78,7 @@ def _content(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 
 def _packed(doc: np.ndarray, start: np.ndarray, count: np.ndarray, strings: list[bytes]) -> bytes:
     raw = struct.pack("<q", len(doc)) + np.diff(doc, prepend=0).tobytes() + start.astype("<u4").tobytes() + count.astype("<u4").tobytes() + b"\n".join(strings)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -95,7 +108,49 @@ def _by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(doc[cut], pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "ranges"])
 
 
-def _send(window: int, buckets: int):
+def _frequent(window: int, buckets: int):
+    """Minimisers that hold more than a bucket's fair share of a batch's windows, or half of it, and how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            words, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
+            _, count, least = _runs(words, np.append(0, np.cumsum(sizes)), window, np.empty(0, np.uint64))
+            keys, at = np.unique(least, return_inverse=True)
+            n = np.bincount(at, count).astype(np.int64)
+            often = n * 2 * buckets > n.sum()
+            return pa.RecordBatch.from_arrays([pa.array(np.append(keys[often].view(np.int64), 0)), pa.array(np.append(n[often], n.sum())), pa.array(np.append(np.zeros(often.sum(), bool), True))], names=["key", "n", "total"])
+
+        for batch in slices(batches, "text", HASH_BYTES):
+            hashes, bounds = word_hashes(batch.column("text"))
+            parts.append((hashes, np.diff(bounds)))
+            held += len(hashes)
+            if held >= BATCH_WORDS:
+                yield counted()
+                held = 0
+                tidy()
+        if parts:
+            yield counted()
+
+    return run
+
+
+def hot_minimisers(df: DataFrame, window: int, buckets: int) -> np.ndarray:
+    """Minimisers of more windows than a bucket holds on average, in order: fewer than there are buckets.
+
+    They are met in some batch as often as half of that, or they are hot nowhere and in no place at once.
+    """
+    found = df.mapInArrow(tidied(_frequent(window, buckets)), "key long, n long, total boolean").groupBy("total", "key").agg(F.sum("n").alias("n"))
+    # The total, then the most frequent: fewer than buckets can hold more than a bucket's share.
+    rows = found.orderBy(F.desc("total"), F.desc("n"), "key").limit(buckets + 1).collect()
+    hot = [r["key"] for r in rows if not r["total"] and r["n"] * buckets > rows[0]["n"]]
+    return np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
+
+
+def _send(window: int, buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         held = 0
@@ -122,7 +177,7 @@ def _send(window: int, buckets: int):
             begin, end, hashes, codes = begin[take], end[take], hashes[take], codes[take]
             doc, size = doc[order], size[order]
         bounds = np.append(0, np.cumsum(size))
-        start, count, least = _runs(hashes, bounds, window)
+        start, count, least = _runs(hashes, bounds, window, hot)
         if not len(start):
             return
         owner = np.searchsorted(bounds, start, side="right") - 1
@@ -211,8 +266,10 @@ def _count(window: int):
 
 def repeated_ranges(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of doc_id and packed word ranges that windows of earlier documents cover; several rows a document."""
+    bounded_batches(df.sparkSession)
     buckets = BUCKETS * partitions(df.sparkSession)
-    sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_send(window, buckets)), "bucket int, doc_id long, blob binary")
+    named = df.filter(F.col("doc_id").isNotNull())
+    sent = named.mapInArrow(tidied(_send(window, buckets, hot_minimisers(named.select("text"), window, buckets))), "bucket int, doc_id long, blob binary")
     return sent.repartition(2 * partitions(df.sparkSession), "bucket").mapInArrow(tidied(_count(window)), "doc_id long, ranges binary")
 
 
@@ -228,8 +285,7 @@ def removed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     added = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     others = [c for c in df.columns if c not in (doc_id, text, *added)]
     plain = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = materialise(repeated_ranges(plain, window), "ranges")
-    by_doc = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges"))
+    by_doc = repeated_ranges(plain, window).groupBy("doc_id").agg(F.collect_list("ranges").alias("_ranges"))
     rows = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     joined = rows.join(by_doc, rows["_id"].cast("long") == by_doc["doc_id"], "left").drop("doc_id")
     schema = T.StructType([df.schema[doc_id], *(df.schema[c] for c in others), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * with_text)
