@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, tidied
+from .common import bounded_batches, slices, texts_of, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content isn't markup; it ends at their own end tag only.
@@ -98,7 +98,8 @@ def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, float, bool]
             unlikely |= "display:none" in value.replace(" ", "")
         else:
             unlikely |= name == "hidden" or value == "true"
-    return unlikely and tag not in KEPT_TAGS, bonus, named
+    # An article within another is judged like any block: reader comments may be articles of their own.
+    return unlikely and (tag not in KEPT_TAGS or tag == "article" and parent.inside), bonus, named
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -186,6 +187,17 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def _without_page_headers(nodes: list[Node]) -> None:
+    """Set aside the headers of a main element that stand outside its articles: they are the page's."""
+    if not any(node.tag == "article" for node in nodes):
+        return
+    within: dict[int, bool] = {}
+    for node in nodes:
+        above = node.parent is not None and within[id(node.parent)]
+        within[id(node)] = above or node.tag == "article"
+        node.dropped |= node.parent is not None and node.parent.dropped or node.tag == "header" and not above
+
+
 def _score(nodes: list[Node]) -> Node | None:
     """Points of all nodes, and the best container."""
     for node in reversed(nodes):
@@ -293,6 +305,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root, nodes = parse(html)
+    _without_page_headers(nodes)
     best = _score(nodes)
     if best is None:
         blocks: list[str] = []
@@ -313,6 +326,7 @@ def extract(df: DataFrame, html: str = "html", max_slice_bytes: int = 4 << 20) -
     Null and empty html give an empty text. Pages of any length are parsed whole. Repeated rows are kept; an
     empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("text", "n_chars")]
     rows = df.select(*[F.col(f"`{c}`") for c in kept])
     carried = [c for c in kept if c != html]
