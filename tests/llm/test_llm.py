@@ -77,6 +77,25 @@ def test_components(spark):
     assert connected_components(empty(spark, "a long, b long")).count() == 0
 
 
+def test_scratch_tables_are_deleted(spark):
+    import glob
+    import os
+
+    from veil.llm import common
+
+    tables = lambda: {os.path.basename(p) for p in glob.glob(common.shared_dir(spark).removeprefix("file://") + "/veil-*")}
+    before = tables()
+    with common.scratch(spark) as keep:
+        a, b = (common.materialise(spark.range(n), f"t{n}") for n in (3, 4))
+        kept = keep(a.union(common.materialise(spark.range(5), "t5")))
+    assert sorted(p.split("-")[1] for p in tables() - before) == ["t3", "t5"] and kept.count() == 8
+    common.discard(spark, kept)
+    assert tables() == before
+    out = jaccard.near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string, lang string, score double"))
+    left = {p.split("-")[1] for p in tables() - before}
+    assert not left & {"postings", "hub", "open", "sets", "answered", "mixed", "extra"} and out.count()
+
+
 # --- quality ------------------------------------------------------------------------------------------------
 
 
@@ -407,6 +426,7 @@ GOLD = [
     # An article's own header, and a page's.
     ("<body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><article><header><h1>Title</h1><p>Lede.</p></header><p>Body, one.</p><footer>Tags</footer></article></body>", ["Title", "Lede.", "Body, one."]),
     ("<main><header><h1>T</h1><nav><a href=/>x</a></nav></header><p>One.</p></main><header>Top</header>", ["T", "One."]),
+    ("<main><header><p>Site, all of it.</p></header><article><header><h1>T</h1></header><p>One.</p><article class=comment><header>Ann</header><p>Reader.</p></article></article></main>", ["T", "One."]),
     # Text of formulas, drawings and labels in a sentence.
     ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be given, <svg><title>t</title><text>A</text></svg> and <label>so on</label>.</p></article>", ["Let x=2 be given, A and so on."]),
     # Class words of text blocks, which say more than that they are boilerplate, and which don't.
