@@ -8,6 +8,7 @@ curve fitted on labelled rows that the dictionaries haven't seen.
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from .common import bounded_batches, slices, texts_of, tidied
 
 BLOCK = 1024
 LEVEL = 3
-DICTIONARY_BYTES = 256 << 10
+DICTIONARY_BYTES = 64 << 10
 #: Labelled rows of each class that the model is fitted on at most, whole texts.
 SAMPLE_ROWS = 4000
 
@@ -117,6 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["doc_id", "label", "block"])
 
     found = sorted((r["doc_id"], i, r["label"], bytes(r["block"])) for i, r in enumerate(texts.filter("part = 0").mapInArrow(tidied(blocks), "doc_id long, label int, block binary").collect()))
+    # The trainer looks at blocks epoch by epoch, and neighbours of one text or id range alone make poor dictionaries.
+    random.Random(17).shuffle(found)
     by_class = {y: [b for _, _, k, b in found if k == y] for y in (0, 1)}
     if not by_class[0] or not by_class[1]:
         return QualityModel(prior=prior)
