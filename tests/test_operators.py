@@ -228,6 +228,9 @@ def test_global_order_over_many_ranges(spark, parts):
         df = spark.createDataFrame(rows, "g string, x double, i long, v long").repartition(3)
         order = GlobalOrder(df, ["g", F.col("x"), "i"]).add_rank("rank").add_rank_within("g", "within", start=0)
         got = {x.i: (x.rank, x.within) for x in order.frame().collect()}
+        if parts == 300:  # the ranges are those of the others
+            assert got == {row[2]: (rank, sum(x[0] == row[0] and x[:3] < row[:3] for x in rows)) for rank, row in enumerate(sorted(rows, key=lambda x: x[:3]), 1)}
+            return
         carried = {x.i: x.last for x in GlobalOrder(df, ["g", "x", "i"]).last_before(F.col("v"), "g", "last").collect()}
         previous = {x.i: x.prev for x in GlobalOrder(df, ["g", "x", "i"]).previous("i", "prev").collect()}
         top = {x.i: x.top for x in GlobalOrder(df, ["g", "x", "i"]).running_max(F.col("i"), "top").collect()}
