@@ -96,6 +96,32 @@ def test_scratch_tables_are_deleted(spark):
     assert not left & {"postings", "hub", "open", "sets", "answered", "mixed", "extra"} and out.count()
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    from veil.llm import common
+
+    files = {}
+
+    def counted(df, what="step", **how):
+        out = common.materialise(df, what, **how)
+        files[what] = max(files.get(what, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, score double").select("doc_id", "text")
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert {"shingles", "classes", "hub-answers", "answered-sets"} <= files.keys()
+    assert {k: n for k, n in files.items() if n > 4 and k not in ("sets", "postings")} == {}
+
+
 # --- quality ------------------------------------------------------------------------------------------------
 
 

@@ -19,6 +19,9 @@ SLICE_BYTES, SLICE_ROWS = 4 << 20, 8192
 #: workers and the buffers of executors, which keep them.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
+#: Partitions of a shuffle to a file of a small table.
+FEWER = 8
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,9 +93,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
-def materialise(df: DataFrame, what: str = "step") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and lost executors cost nothing."""
+def materialise(df: DataFrame, what: str = "step", few: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and lost executors cost nothing.
+
+    few: one more shuffle gathers the rows in a FEWER-th of the shuffle's partitions first, for tables far smaller than
+    what they are made of. Without Hadoop's native library a local folder costs a process for each file and each checksum.
+    """
     spark = df.sparkSession
+    if few:
+        df = df.repartition(max(1, partitions(spark) // FEWER))
     path = f"{shared_dir(spark)}/veil-{what}-{uuid.uuid4().hex}"
     bounded_batches(spark)
     df.write.parquet(path)

@@ -250,7 +250,7 @@ def counted(df: DataFrame, size: int = SHINGLE) -> DataFrame:
     sent = df.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(_send(size, buckets)), _ROUTED)
     replied = sent.repartition(2 * partitions(spark), "to").mapInArrow(tidied(_count(max(8, partitions(spark) // 2))), _ROUTED)
     schema = "doc_id long, n int, fp1 long, fp2 long, shared int, token long, df int"
-    return materialise(replied.repartition(partitions(spark), "to").mapInArrow(tidied(_gather), schema), "shingles")
+    return materialise(replied.repartition(partitions(spark), "to").mapInArrow(tidied(_gather), schema), "shingles", few=True)
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +349,7 @@ def _by_lists(known: DataFrame, posts: DataFrame) -> DataFrame:
     """Pairs with different main hubs that meet in an index list, and that sizes and positions don't rule out."""
     entries = posts.select("token", "doc_id", "pos").join(known.select("doc_id", "n", "shared", "main", "comp"), "doc_id")
     mixed_lists = entries.groupBy("token").agg(F.min("main").alias("lo"), F.max("main").alias("hi"), F.min("comp").alias("first"), F.max("comp").alias("last")).filter("lo <> hi and first <> last").select("token")
-    entries = materialise(entries.join(mixed_lists, "token", "left_semi"), "mixed-postings")
+    entries = materialise(entries.join(mixed_lists, "token", "left_semi"), "mixed-postings", few=True)
     x, y = _ends(entries, ["token"], ["n", "shared", "main", "comp", "pos"])
     n_x, n_y = F.col("n_x"), F.col("n_y")
     by_place = F.least("pos_x", "pos_y") + F.least(n_x - F.col("pos_x"), n_y - F.col("pos_y"))
@@ -368,7 +368,7 @@ def _by_extras(known: DataFrame) -> DataFrame:
     columns = ["n", "shared", "comp", "o", "n_main", "m1", "m2"]
     entries = known.select("main", "doc_id", *columns, F.explode(F.slice("extra", F.lit(1), prefix.cast("int"))).alias("token"))
     mixed_lists = entries.groupBy("main", "token").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("main", "token")
-    entries = materialise(entries.join(mixed_lists, ["main", "token"], "left_semi"), "extra-postings")
+    entries = materialise(entries.join(mixed_lists, ["main", "token"], "left_semi"), "extra-postings", few=True)
     x, y = _ends(entries, ["main", "token"], columns)
     outside = F.greatest(F.lit(0), F.least(F.col("shared_x") - F.col("o_x"), F.col("shared_y") - F.col("o_y")))
     need = _least_overlap(F.col("n_x"), F.col("n_y"))
@@ -388,7 +388,7 @@ def _by_hubs(known: DataFrame) -> DataFrame:
     several = ~((F.col("lo_x") == F.col("hi_x")) & (F.col("lo_y") == F.col("hi_y")) & (F.col("lo_x") == F.col("lo_y")))
     in_order = F.struct(*[f"{c}_x" for c in key]) <= F.struct(*[f"{c}_y" for c in key])
     open_pairs = a.join(b, "main").filter(in_order & several & _sizes_fit(F.col("n_x"), F.col("n_y")) & (F.least("shared_x", "shared_y") >= need) & (_common_of_hub() >= need))
-    open_pairs = materialise(open_pairs.select("main", *[f"{c}_{s}" for s in "xy" for c in key]), "open-blocks")
+    open_pairs = materialise(open_pairs.select("main", *[f"{c}_{s}" for s in "xy" for c in key]), "open-blocks", few=True)
     x, y = _ends(known, ["main"], [*key, "n_main", "shared", "comp", "m1", "m2"])
     pairs = open_pairs.join(x, ["main", *[f"{c}_x" for c in key]]).join(y.drop("n_main_y"), ["main", *[f"{c}_y" for c in key]])
     return pairs.filter((F.col("x") != F.col("y")) & _fits() & (_common_of_hub() >= need)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -408,9 +408,9 @@ def links(sets: DataFrame) -> DataFrame:
     posts = materialise(index.join(lists.select("token", (-F.col("best.h")).alias("hub")), "token"), "postings")
     hubs = sets.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"))
     star = posts.filter("doc_id <> hub").select(F.col("doc_id"), "n", "hub").distinct().join(hubs, "hub").filter(_sizes_fit(F.col("n"), F.col("n_hub")))
-    answers = materialise(_overlaps(star.select(F.col("doc_id").alias("x"), F.col("hub").alias("y")), sets, hubs=True), "hub-answers")
+    answers = materialise(_overlaps(star.select(F.col("doc_id").alias("x"), F.col("hub").alias("y")), sets, hubs=True), "hub-answers", few=True)
     found = answers.filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
-    first = materialise(connected_components(found, "x", "y"), "hub-components")
+    first = materialise(connected_components(found, "x", "y"), "hub-components", few=True)
 
     # A set's main hub is the one that most sets are close to, so that a group of near copies has one; a set without a
     # close hub is its own.
@@ -423,13 +423,13 @@ def links(sets: DataFrame) -> DataFrame:
     known = listed.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(close, "doc_id", "left")
     zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
     own = {"component": ("comp", F.col("doc_id")), "main": ("main", F.col("doc_id")), "o": ("o", F.col("n")), "n_main": ("n_main", F.col("n")), "m1": ("m1", zero), "m2": ("m2", zero), "extra": ("extra", none)}
-    known = materialise(known.select("doc_id", "n", "shared", *[F.coalesce(F.col(c), default).alias(name) for c, (name, default) in own.items()]), "answered-sets")
+    known = materialise(known.select("doc_id", "n", "shared", *[F.coalesce(F.col(c), default).alias(name) for c, (name, default) in own.items()]), "answered-sets", few=True)
 
     groups = known.groupBy("main").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first <> last").select("main")
-    grouped = materialise(known.join(groups, "main", "left_semi"), "open-groups")
+    grouped = materialise(known.join(groups, "main", "left_semi"), "open-groups", few=True)
     rest = _by_lists(known, posts).union(_by_extras(grouped)).union(_by_hubs(grouped.drop("extra"))).distinct()
     done = answers.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = materialise(rest.join(done, ["x", "y"], "left_anti"), "open-pairs")
+    rest = materialise(rest.join(done, ["x", "y"], "left_anti"), "open-pairs", few=True)
     more = _overlaps(rest, sets).filter(_linked(F.col("overlap"), F.col("n_x"), F.col("n_y"))).select("x", "y")
     return first.select(F.col("id").alias("x"), F.col("component").alias("y")).union(more)
 
@@ -448,7 +448,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = counted(docs, size)
     counts = rows.filter("doc_id is not null").drop("token", "df")
     sets = ["n", "fp1", "fp2"]
-    classes = materialise(counts.filter("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "classes")
+    classes = materialise(counts.filter("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.max("shared").alias("shared")), "classes", few=True)
     able = classes.filter(F.col("shared") * den >= F.col("n") * num).select(F.col("rep").alias("doc_id"), "n", "shared")
     able = broadcast_if_small(able, able.count(), 40)
     chosen = docs.join(able, "doc_id")
